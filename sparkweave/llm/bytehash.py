@@ -27,7 +27,7 @@ def _powers(n):
     """The first n powers of the odd multiplier, modulo 2**64."""
     global _POWERS
     while len(_POWERS) < n:
-        top = _POWERS[-1] * _ODD
+        top = _POWERS[-1:] * _ODD
         _POWERS = np.concatenate([_POWERS, _POWERS * top])
     return _POWERS[:n]
 
