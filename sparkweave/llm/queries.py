@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
-from .tables import table, vocabulary
+from . import bpe, packing, pii, quality
+from .tables import Scratch, table, vocabulary
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs, model)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_quality": op6_quality}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = Scratch(spark, "pieces").put(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()), "pieces")
+    return packing.place(parts)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS[: pii.BASE]]
+    return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("all").alias("spans"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op8_packing": op8_packing, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}
