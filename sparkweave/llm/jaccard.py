@@ -13,9 +13,9 @@ follows the set's size; sizes that differ by a quarter at most share a size clas
 combinations are made for both.
 
 Candidates from rare members come with their number of common members, and an upper bound of the overlap drops most of
-the others; what is left is verified on the whole sets. For components not every link is needed: the first round
-verifies each set's best candidates, and for combinations its neighbours in the order of sizes; the second round
-verifies all candidates whose sets are still in different components. So large groups of near copies cost in proportion
+the others; what is left is verified on the whole sets. For components not every link is needed: the first rounds
+verify each set's best candidates, and for combinations its neighbours in orders that change with the round; the last
+round verifies all candidates whose sets are still in different components. So large groups of near copies cost in proportion
 to their members, and no link between different components is missed.
 
 Null and empty texts have no shingles and are components of their own; repeated rows share one; other columns are not
@@ -33,6 +33,7 @@ from .components import components
 from .tables import Scratch
 
 RARE = 16  # sets that may show a shingle which is indexed alone
+TURNS = 4  # rounds that verify neighbours before all that is left is verified
 SMALL = 2_000_000  # ids that are broadcast at most (16 MB); more are joined by a shuffle
 _SIZES = np.unique(np.ceil(1.25 ** np.arange(0, 120)).astype(np.float64))
 
@@ -200,11 +201,6 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = sigs.where("kind > 0").select("sig", "kind", "doc", "n")
     held = mixed.groupBy("sig").agg(F.count("*").alias("sets"), F.min("kind").alias("least")).where("sets > 1 and least = 1").select("sig")
     combos = scratch.put(mixed.join(held, "sig", "left_semi"), "combos")
-    order = W.partitionBy("sig").orderBy("n", "doc")
-    beside = combos.select("doc", "n", "kind", F.lag("doc").over(order).alias("other"), F.lag("n").over(order).alias("m"), F.lag("kind").over(order).alias("other_kind"))
-    beside = beside.where(F.col("other").isNotNull() & _near(F.col("n"), F.col("m")))
-    beside = beside.groupBy(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).agg(F.count("*").alias("common"))
-
     active = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(combos.select("doc")).distinct()
     active = scratch.put(active, "active")
     sets = scratch.put(plain.join(_few(active), "doc_id", "left_semi").mapInArrow(_sets, "doc long, members binary"), "sets")
@@ -215,14 +211,38 @@ def classes(docs: DataFrame) -> DataFrame:
         return with_b.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
 
     def best(found):
-        """Each set's two candidates with most in common."""
+        """Each set's three candidates with most in common."""
         ends = found.select("a", "b", "common", F.explode(F.array("a", "b")).alias("doc"))
         rank = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("common"), "a", "b"))
-        return ends.withColumn("rank", rank).where("rank <= 2").select("a", "b").distinct()
-
-    tried = scratch.put(best(likely).union(best(beside)).distinct(), "tried")
-    links = scratch.put(verified(tried), "links1")
-    roots = components(links, scratch, "roots1")
+        return ends.withColumn("rank", rank).where("rank <= 3").select("a", "b").distinct()
+
+    def beside(rooted, turn):
+        """Neighbours in an order of each combination's sets that changes with the turn, of different components."""
+        order = W.partitionBy("sig").orderBy(F.xxhash64("doc", F.lit(turn)), "doc")
+        near = [rooted.select("doc", "n", "root", "kind", *[F.lag(c, step).over(order).alias(f"{c}2") for c in ("doc", "n", "root", "kind")]) for step in (1, 2)]
+        near = near[0].union(near[1]).where(F.col("doc2").isNotNull() & _near(F.col("n"), F.col("n2")) & (F.col("root") != F.col("root2")) & ((F.col("kind") == 1) | (F.col("kind2") == 1)))
+        return near.groupBy(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).agg(F.count("*").alias("common"))
+
+    def split(roots):
+        """Combination rows with their sets' components, where a combination still has several."""
+        rows = combos.withColumn("root", F.col("doc")) if roots is None else combos.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        several = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("kind").alias("least")).where("low < high and least = 1").select("sig")
+        return rows.join(several, "sig", "left_semi")
+
+    tried = links = roots = None
+    for turn in range(TURNS):
+        rooted = scratch.put(split(roots), f"rooted{turn}")
+        wanted = best(beside(rooted, turn))
+        if turn == 0:
+            wanted = wanted.union(best(likely)).distinct()
+        else:
+            wanted = wanted.join(tried, ["a", "b"], "left_anti")
+        wanted = scratch.put(wanted, f"wanted{turn}")
+        tried = wanted if tried is None else scratch.put(tried.union(wanted), f"tried{turn}")
+        new = verified(wanted)
+        links = scratch.put(new if links is None else links.union(new), f"links{turn}")
+        roots = components(links, scratch, f"roots{turn}")
+        scratch.drop(f"rooted{turn}")
 
     # what is left: candidates whose sets are in different components
     def apart(found):
@@ -230,16 +250,14 @@ def classes(docs: DataFrame) -> DataFrame:
             found = found.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
         return found.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    rooted = combos.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    several = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    rooted = scratch.put(rooted.join(several, "sig", "left_semi"), "rooted")
+    rooted = scratch.put(split(roots), "rooted")
     one, two = rooted.alias("x"), rooted.alias("y")
     cross = one.join(two, (x("sig") == y("sig")) & (x("doc") < y("doc")) & (x("root") != y("root")) & _near(x("n"), y("n")) & ((x("kind") == 1) | (y("kind") == 1)))
     cross = cross.select(x("doc").alias("a"), y("doc").alias("b"))
     left = scratch.put(apart(likely).union(cross).distinct().join(tried, ["a", "b"], "left_anti"), "left")
-    more = scratch.put(links.union(verified(left)), "links2")
-    roots = components(more, scratch, "roots2")
-    scratch.drop("sets", "sigs", "combos", "rooted", "likely", "heads", "active", "tried", "left", "links1", "links2")
+    more = scratch.put(links.union(verified(left)), "links")
+    roots = components(more, scratch, "roots")
+    scratch.drop("sets", "sigs", "combos", "rooted", "likely", "heads", "active", "left", "links", *[f"{x}{t}" for x in ("wanted", "tried", "links") for t in range(TURNS)])
 
     named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     # a representative is the smallest id of its set, and a root the smallest of its component

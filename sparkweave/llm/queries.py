@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality
+from . import bpe, jaccard, packing, pii, quality
 from .tables import Scratch, table, vocabulary
 
 
@@ -14,6 +14,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -31,5 +35,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("all").alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op8_packing": op8_packing, "op9_pii": op9_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op8_packing": op8_packing, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}
