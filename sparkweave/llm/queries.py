@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, pii, quality
+from . import bpe, jaccard, linedup, packing, pii, quality
 from .tables import Scratch, table, vocabulary
 
 
@@ -24,6 +24,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs, model)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = docs.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    after = linedup.clean(before)
+    left = F.size(F.split("text", "\n")).cast("long")
+    return after.select("doc_id", "n_lines", F.length("text").cast("long").alias("n_chars"), left.alias("n_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = Scratch(spark, "pieces").put(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()), "pieces")
     return packing.place(parts)
@@ -35,5 +43,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("all").alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op8_packing": op8_packing, "op9_pii": op9_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {}
