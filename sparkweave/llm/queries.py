@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, linedup, packing, pii, quality
+from . import bpe, jaccard, linedup, packing, pages, pii, quality
 from .tables import Scratch, table, vocabulary
 
 
@@ -43,5 +43,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("all").alias("spans"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii}
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
 ORACLE_SQL: dict[str, str] = {}
