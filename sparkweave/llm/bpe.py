@@ -36,6 +36,7 @@ _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b
 #: Entries that a worker remembers of chunks, of word heads and of transitions. A full table takes no more: what
 #: came first is what is common, and the rest is worked out each time.
 MEMORY = 300_000
+_SLOTS = 1 << 20  # of the transition table
 
 
 class MergeAutomaton:
@@ -49,7 +50,7 @@ class MergeAutomaton:
         self.parts: dict[str, tuple[str, str]] = {}
         self.born: dict[str, int] = {}
         self.cut: dict[tuple[str, str], int] = {}
-        self._known: dict[tuple[str, str], bool] = {}
+        self._known: dict = {}
         for step, (u, v) in enumerate(merges):
             self._gadget(step, u, v)
         made = set(self.born)
@@ -76,7 +77,7 @@ class MergeAutomaton:
             for node, i in at.items():
                 self.ends[row, node] = i
         self.size = np.array([len(x[: -len(self.suffix)] if self.suffix and x.endswith(self.suffix) and len(x) > len(self.suffix) else x) for x in self.labels], np.int32)
-        self._keys, self._oks = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._keys, self._oks = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
 
     def _gadget(self, step: int, u: str, v: str) -> None:
         if (u, v) in self.cut or not self._arc(u, v):
@@ -114,22 +115,25 @@ class MergeAutomaton:
         return known
 
     def _allowed(self, left, right):
-        """follows() of many pairs of ids; pairs met for the first time are worked out and kept, sorted."""
+        """follows() of many pairs of ids, from a table addressed by a hash of the pair; a miss is worked out once."""
         keys = (left.astype(np.int64) << 32) | right
-        at = np.searchsorted(self._keys, keys)
-        at[at == len(self._keys)] = 0
-        new = keys != self._keys[at] if len(self._keys) else np.ones(len(keys), bool)
-        if new.any():
-            fresh = np.unique(keys[new])
-            oks = np.array([self._arc(self.labels[k >> 32], self.labels[k & 0xFFFFFFFF]) for k in fresh.tolist()], bool)
-            if len(self._keys) + len(fresh) > 4 * MEMORY:
-                self._keys, self._oks = self._keys[:0], self._oks[:0]
-                fresh, first = np.unique(keys, return_index=True)
-                oks = np.array([self._arc(self.labels[k >> 32], self.labels[k & 0xFFFFFFFF]) for k in fresh.tolist()], bool)
-            where = np.searchsorted(self._keys, fresh)
-            self._keys, self._oks = np.insert(self._keys, where, fresh), np.insert(self._oks, where, oks)
-            at = np.searchsorted(self._keys, keys)
-        return self._oks[at]
+        slot = ((keys * np.int64(-7046029254386353131)) >> np.int64(42)) & np.int64(_SLOTS - 1)
+        miss = self._keys[slot] != keys
+        if miss.any():
+            labels, known, many = self.labels, self._known, np.unique(keys[miss])
+            for k, at in zip(many.tolist(), (((many * np.int64(-7046029254386353131)) >> np.int64(42)) & np.int64(_SLOTS - 1)).tolist(), strict=True):
+                self._keys[at], self._oks[at] = k, self._arc(labels[k >> 32], labels[k & 0xFFFFFFFF])
+            ok = self._oks[slot]
+            lost = np.flatnonzero(self._keys[slot] != keys)  # two of these pairs share a slot
+            for i in lost.tolist():
+                k = int(keys[i])
+                if k not in known:
+                    known[k] = self._arc(labels[k >> 32], labels[k & 0xFFFFFFFF])
+                ok[i] = known[k]
+            if len(known) > MEMORY:
+                known.clear()
+            return ok
+        return self._oks[slot]
 
     def encode_words(self, words: list[str], most: int = 40) -> list[bytes]:
         """Ids of each word (base symbols without the suffix) as 32-bit integers.
@@ -244,6 +248,11 @@ class Encoder:
         self._memory: dict[str, bytes] = {}
 
     def _words(self, piece: str) -> list[str]:
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower()]
+            if piece[-1] in ".," and piece[:-1].isalpha():
+                return [piece[:-1].lower(), piece[-1]]
         if _LATIN(piece):  # already composed letters: as the library does, without a call for each word
             if piece.isascii():
                 return _ASCII_WORD.findall(piece.lower())
