@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, linedup, packing, pages, pii, quality
+from . import bpe, jaccard, linedup, packing, pages, pii, quality, toxicity
 from .tables import Scratch, table, vocabulary
 
 
@@ -14,6 +14,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return toxicity.apply(docs, model).select("doc_id", held, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "neighbours")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -48,5 +55,5 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
 ORACLE_SQL: dict[str, str] = {}
