@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, linedup, packing, pages, pii, quality, toxicity
+from . import bpe, jaccard, licenses, linedup, packing, pages, pii, quality, toxicity
 from .tables import Scratch, table, vocabulary
 
 
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.apply(docs, model).select("doc_id", held, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "neighbours")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
 ORACLE_SQL: dict[str, str] = {}
