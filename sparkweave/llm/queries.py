@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, linedup, packing, pages, pii, quality, toxicity
+from . import bpe, jaccard, licenses, linedup, packing, pages, pii, quality, toxicity, webp
 from .tables import Scratch, table, vocabulary
 
 
@@ -30,6 +30,13 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = webp.media(table(spark, sf_dir, "documents"))
+    tail = F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32")
+    size = F.length("payload").cast("long").alias("payload_bytes")
+    return stored.select("doc_id", "n_bytes", size, F.sha2("payload", 256).alias("payload_sha256"), tail, F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -60,5 +67,5 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_media": op5_media, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
 ORACLE_SQL: dict[str, str] = {}

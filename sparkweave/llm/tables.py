@@ -41,6 +41,7 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+        self.spark._jvm.System.gc()  # shuffle files of the finished job go as soon as the driver forgets its plan
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
