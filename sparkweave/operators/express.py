@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweave.functions.ranks import MAD_SCALE, average_rank, mad
 from sparkweave.functions.special import chi_square_4, fisher_two_sided, hypergeometric_greater, normal_two_sided, odds_ratio
@@ -150,17 +151,17 @@ def overlap(one: DataFrame, two: DataFrame) -> DataFrame:
     return out.withColumns({"jaccard": F.col("k") / (F.col("n1") + F.col("n2") - F.col("k")), "coefficient": c, "level": level})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_two_sided(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_odds(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([odds_ratio(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def over_representation_p(hits: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([hypergeometric_greater(*map(int, x)) for x in zip(hits, drawn, marked, total, strict=True)], dtype=float)
 

@@ -14,7 +14,7 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str, *by: str) -> DataFrame:
     the cells behind and of the row's own cell from the row on gives its q: two tiny tables join what each cell knows.
     """
     cell, by = "__cell", list(by)
-    rows = df.withColumn(cell, F.least(F.floor(F.col(p) * CELLS), F.lit(CELLS - 1)).cast("int"))
+    rows = df.withColumn(cell, F.when(F.col(p).isNotNull(), F.least(F.floor(F.col(p) * CELLS), F.lit(CELLS - 1)).cast("int")))
     keyed = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     counts = rows.where(F.col(p).isNotNull()).groupBy(*by, cell).agg(F.count("*").alias("__n"))
     counts = counts.select(*by, cell, F.sum("__n").over(keyed).alias("__m"), (F.sum("__n").over(keyed.orderBy(cell).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))

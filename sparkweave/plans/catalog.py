@@ -292,11 +292,11 @@ def module_hubs(spark, sf_dir):
     return rounded(graph.hubs(_connectivity(spark, sf_dir)).select("gene", "module", "k_within", "rank"))
 
 
-@query(f"""WITH {NET}, cuts AS (SELECT unnest([{', '.join(f'{k / 100 + 0.00001}::DOUBLE' for k in range(30, 100, 5))}]) AS cut)
+@query(f"""WITH {NET}, cuts AS (SELECT unnest([{', '.join(f'{round(k / 100 + 0.00001, 6)}::DOUBLE' for k in range(30, 100, 5))}]) AS cut)
 SELECT cut, count(r) AS n_edges, {r6('count(r) * 2.0 / (500 * 499)')} AS density, {r6('avg(abs(r))')} AS mean_weight FROM cuts LEFT JOIN net ON abs(r) > cut GROUP BY cut""".replace("(500 * 499)", "((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1))"))
 def threshold_sweep(spark, sf_dir):
     edges, nodes = _net(spark, sf_dir)
-    return rounded(graph.threshold_sweep(edges, nodes.count(), [k / 100 + 0.00001 for k in range(30, 100, 5)]))
+    return rounded(graph.threshold_sweep(edges, nodes.count(), [round(k / 100 + 0.00001, 6) for k in range(30, 100, 5)]))
 
 
 @query(f"WITH {EXPR}, {z_sql('za', 'expr')} SELECT b.g AS gene, {r6('list_dot_product(a.z, b.z) / (len(a.z) - 1)')} AS r FROM za a JOIN za b ON a.g = 0 AND b.g <> 0")
@@ -377,3 +377,84 @@ def top_and_bottom(spark, sf_dir):
     w = W.partitionBy("c_nationkey")
     f = c.withColumns({"hi": F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey")), "lo": F.row_number().over(w.orderBy("c_acctbal", "c_custkey"))}).where("hi <= 3 or lo <= 3")
     return f.join(F.broadcast(n), f.c_nationkey == n.n_nationkey).select("n_name", "c_custkey", "c_acctbal", F.when(F.col("hi") <= 3, "top").otherwise("bottom").alias("side"))
+
+
+# ---- resampling ----------------------------------------------------------------------------------------------------
+def _draws_sql(k: int, m: int, reps: int) -> str:
+    return f"""placed AS (SELECT side, s, row_number() OVER (PARTITION BY side ORDER BY s) - 1 AS pos FROM split WHERE g = 0),
+grid AS (SELECT b, slot, side, {drawn_sql(P.seed, 'b', 'slot', "CASE WHEN side = 'low' THEN 0 ELSE 1 END")} % {k} AS pos FROM range({reps}) x(b), range({m}) y(slot), (VALUES ('low'), ('high')) t(side)),
+draws AS (SELECT b, slot, side, s FROM grid JOIN placed USING (side, pos))"""
+
+
+@query(f"""WITH {EDGES}, {_draws_sql(12, 9, P.replicates)}, chosen AS (SELECT gene_i, gene_j, delta FROM edges WHERE sig_edge),
+genes AS (SELECT gene_i AS g FROM chosen UNION SELECT gene_j FROM chosen), vals AS (SELECT b, side, slot, g, v FROM expr SEMI JOIN genes USING (g) JOIN draws USING (s)),
+rk AS (SELECT *, rank() OVER (PARTITION BY b, side, g ORDER BY v) + (count(*) OVER (PARTITION BY b, side, g, v) - 1) / 2.0::DOUBLE AS r FROM vals),
+zz AS (SELECT b, side, g, list(CASE WHEN sd > 0 THEN (r - m) / sd END ORDER BY slot) AS z FROM (SELECT *, avg(r) OVER (PARTITION BY b, side, g) AS m, stddev_samp(r) OVER (PARTITION BY b, side, g) AS sd FROM rk) GROUP BY ALL),
+d AS (SELECT gene_i, gene_j, delta, b, sum(CASE WHEN x.side = 'high' THEN 1 ELSE -1 END * list_dot_product(x.z, y.z) / (len(x.z) - 1)) AS d FROM chosen JOIN zz x ON x.g = gene_i JOIN zz y USING (b, side) WHERE y.g = gene_j GROUP BY ALL),
+a AS (SELECT gene_i, gene_j, delta, avg(d) AS delta_mean, stddev_samp(d) AS delta_std, greatest(least(1, 2 * least(avg((d < 0)::INT), avg((d > 0)::INT))), 1 / {P.replicates}.0::DOUBLE) AS p_boot, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d GROUP BY ALL)
+SELECT gene_i, gene_j, {r6('delta')} AS delta, {r6('delta_mean')} AS delta_mean, {r6('delta_std')} AS delta_std, {r6('p_boot')} AS p_boot, {r6('lo')} AS ci_low, {r6('hi')} AS ci_high, {r6('delta_mean - delta')} AS bias, lo > 0 OR hi < 0 AS excludes_zero FROM a""")
+def bootstrap_edges(spark, sf_dir):
+    long = from_embeddings(spark, sf_dir)
+    return rounded(diffnet.bootstrap(long, diffnet.edges(long, P).where("sig_edge"), P))
+
+
+PERM = f"""samples AS (SELECT DISTINCT s FROM expr), pr AS (SELECT perm, s, row_number() OVER (PARTITION BY perm ORDER BY {drawn_sql(42, 'perm', 's')}, s) AS rn FROM samples, range(1, 21) t(perm)),
+perms AS (SELECT perm, CASE WHEN rn <= 12 THEN 'low' ELSE 'high' END AS side, s FROM pr WHERE rn <= 24 UNION ALL SELECT 0, side, s FROM split WHERE g = 0),
+pv AS (SELECT perm, side, s, g, v FROM expr JOIN perms USING (s)), pk AS (SELECT *, rank() OVER (PARTITION BY perm, side, g ORDER BY v) + (count(*) OVER (PARTITION BY perm, side, g, v) - 1) / 2.0::DOUBLE AS r FROM pv),
+pz AS (SELECT *, (r - avg(r) OVER w) / stddev_samp(r) OVER w AS z FROM pk WINDOW w AS (PARTITION BY perm, side, g)),
+rr AS (SELECT a.perm, a.side, b.g, sum(a.z * b.z) / (count(*) - 1) AS r FROM pz a JOIN pz b ON a.perm = b.perm AND a.side = b.side AND a.s = b.s AND a.g = 0 AND b.g <> 0 GROUP BY ALL),
+dd AS (SELECT perm, g, sum(CASE WHEN side = 'high' THEN r ELSE -r END) AS d FROM rr GROUP BY ALL),
+met AS (SELECT perm, avg(abs(d)) AS mean_abs_delta, max(abs(d)) AS max_abs_delta, sum((abs(d) > 0.5001)::INT)::DOUBLE AS n_large FROM dd GROUP BY perm)"""
+
+
+@query(f"""WITH {EXPR}, {SPLIT}, {PERM}, lm AS (SELECT perm, metric, value FROM met UNPIVOT (value FOR metric IN (mean_abs_delta, max_abs_delta, n_large))),
+ob AS (SELECT metric, value AS observed FROM lm WHERE perm = 0), nu AS (SELECT metric, value FROM lm WHERE perm > 0)
+SELECT metric, {r6('observed')} AS observed, {r6('avg(value)')} AS null_mean, {r6('stddev_pop(value)')} AS null_std, max(abs(value)) = 0 AS all_zero, {r6('greatest(sum((abs(value) >= abs(observed))::INT) / count(*), 1.0 / count(*))')} AS p FROM ob JOIN nu USING (metric) GROUP BY metric, observed""")
+def permutation_metrics(spark, sf_dir):
+    long = from_embeddings(spark, sf_dir)
+    own = diffnet.extremes(long, 0.2, 0).select(F.lit(0).cast("long").alias("perm"), "side", "sample")
+    every = diffnet.row_statistics(long, own.unionByName(diffnet.permuted(long, 20)), 0)
+    return rounded(diffnet.permutation_p(every.where("perm > 0"), every.where("perm = 0"), ["mean_abs_delta", "max_abs_delta", "n_large"]))
+
+
+@query(f"""WITH {EXPR}, {SPLIT}, {PERM}, md AS (SELECT *, median(v) OVER (PARTITION BY perm, side, g) AS med FROM pv WHERE g <> 0), m AS (SELECT perm, side, g, 1.4826::DOUBLE * median(abs(v - med)) AS mad FROM md GROUP BY ALL),
+sh AS (SELECT perm, avg(mad) FILTER (side = 'high') - avg(mad) FILTER (side = 'low') AS shift FROM m GROUP BY perm)
+SELECT {r6('o.shift')} AS observed, {r6('avg(n.shift)')} AS null_mean, {r6('avg((abs(n.shift) >= abs(o.shift))::INT)')} AS p FROM sh o, sh n WHERE o.perm = 0 AND n.perm > 0 GROUP BY o.shift""")
+def mad_permutation(spark, sf_dir):
+    long = from_embeddings(spark, sf_dir)
+    own = diffnet.extremes(long, 0.2, 0).select(F.lit(0).cast("long").alias("perm"), "side", "sample")
+    shift = express.mad_shift(long.where("gene <> 0"), own.unionByName(diffnet.permuted(long, 20)), "perm").select("perm", "shift")
+    pair = shift.where("perm > 0").crossJoin(F.broadcast(shift.where("perm = 0").select(F.col("shift").alias("observed"))))
+    return rounded(pair.groupBy("observed").agg(F.avg("shift").alias("null_mean"), F.avg((F.abs("shift") >= F.abs("observed")).cast("double")).alias("p")))
+
+
+# ---- exact tests and models: no SQL form; the tests compare them with independent computations ---------------------
+@query()
+def fisher_tests(spark, sf_dir):
+    q = diffnet.rank_quintile(from_embeddings(spark, sf_dir))
+    t = express.drivers(q, express.deviants(express.imbalance(q), 10), 5)
+    return t.withColumns({"p": express.fisher_p("a", "b", "c", "d"), "odds_mle": express.fisher_odds("a", "b", "c", "d")})
+
+
+@query()
+def term_enrichment(spark, sf_dir):
+    terms = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
+    genes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 49").select(F.col("l_partkey").alias("gene"))
+    return express.enrichment(genes, terms, 5, 10_000_000)
+
+
+@query()
+def term_running_scores(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return express.running_score(p.select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("score")), p.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene")))
+
+
+@query()
+def linear_model_coefficients(spark, sf_dir):
+    return express.linear_models(from_embeddings(spark, sf_dir), {s: [1.0, float(s % 2), float(s >= 32)] for s in range(64)}, 1)
+
+
+@query()
+def principal_components(spark, sf_dir):
+    s = express.gene_statistics(from_embeddings(spark, sf_dir))
+    return express.principal_components(s, ["mean", "sd", "mad", "minimum", "maximum"], 3)[0]
