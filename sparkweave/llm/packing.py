@@ -7,7 +7,8 @@ bins, taking a step only if it increases the sum of squared fills, until emptier
 improve. What is left in a group's underfull bins goes on to further rounds with fewer groups, so that bins are few in
 proportion to all rows and no task ever sees more than a group.
 
-Null texts count as empty; every document has at least one piece (its end mark). Repeated rows are packed one by one.
+Null texts count as empty; every document has at least one piece (its end mark). Document ids are taken to be unique; rows that repeat one are packed one by one, but
+their full pieces share sequence ids.
 """
 
 from bisect import bisect_left, insort
