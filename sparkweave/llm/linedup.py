@@ -6,8 +6,8 @@ smaller number in the same document - if the Jaccard similarity of their sets is
 an earlier line is removed, whether or not that one is itself removed. Lines without words stay.
 
 Equal sets are one class: all its lines but the first go, and the first goes if a similar class starts earlier. Words
-are ordered by rarity: the counts of all words, added up in SLOTS cells by hash, give each word one of 16 frequency
-levels (the levels are a constant of 4 * SLOTS bits); rarer levels come first, ties by hash. A set of n words shows the
+are ordered by rarity: the counts of all words, added up in SLOTS cells by hash, give each word one of 128
+frequency levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n words shows the
 first n - ceil(0.8 n) + 1 of this order. Similar sets show a common word (prefix filter), neither has over 5/4 of the
 other's words (length filter), and the words beyond the shown ones cannot make up for too few common shown ones
 (position filter). What passes is verified on the whole sets. Sets of up to three words match equal ones only.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch
 
-SLOTS = 1 << 14
+SLOTS = 1 << 18
 SMALL = 4_000_000  # removed lines whose numbers are broadcast at most (about 64 MB); more are joined by a shuffle
 
 
@@ -31,17 +31,15 @@ def _split(text: Column) -> Column:
     return F.split(F.translate(text, "\t\x0b\x0c\r\n", "     "), " ")
 
 
-def _levels(docs: DataFrame) -> list[int]:
-    """Frequency level (0 to 15) of the words of each cell, as 64-bit integers of 16 levels each."""
+def _levels(docs: DataFrame) -> bytes:
+    """Frequency level (0 to 127, eight to a doubling) of the words of each cell, a byte each."""
     words = docs.select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("k")).collect()  # SLOTS rows at most
-    total = sum(r.k for r in counts)
-    mean = max(1.0, total / SLOTS)
-    out = [0] * (SLOTS // 16)
-    for r in counts:
-        level = max(0, min(15, int(r.k * 4 / mean).bit_length()))
-        out[r.slot // 16] |= level << (4 * (r.slot % 16))
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("k"))
+    level = F.least(F.lit(127), F.round(4 * F.log2(F.col("k") + 1)).cast("int"))
+    out = bytearray(SLOTS)
+    for r in counts.select("slot", level.alias("level")).toLocalIterator():  # SLOTS rows at most
+        out[r.slot] = r.level
+    return bytes(out)
 
 
 def _need(n: Column) -> Column:
@@ -69,8 +67,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def ranked(w):
         slot = F.pmod(w, F.lit(SLOTS)).cast("int")
-        level = F.call_function("shiftright", F.element_at(levels, F.shiftright(slot, 4) + 1), slot.bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 58).bitwiseOR(F.shiftrightunsigned(w, 6))
+        level = F.ascii(F.substring(levels, slot + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
     n = F.size("words")
     head = F.slice(F.sort_array(F.transform("words", ranked)), 1, n - _need(n) + 1)
