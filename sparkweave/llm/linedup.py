@@ -7,8 +7,10 @@ an earlier line is removed, whether or not that one is itself removed. Lines wit
 
 Equal sets are one class: all its lines but the first go, and the first goes if a similar class starts earlier. Words
 are ordered by rarity: the counts of all words, added up in SLOTS cells by hash, give each word one of 128
-frequency levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n words shows the
-first n - ceil(0.8 n) + 1 of this order. Similar sets show a common word (prefix filter), neither has over 5/4 of the
+frequency levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n words
+shows the head of this order: the e + 1 = n - ceil(0.8 n) + 1 words of a prefix filter and half as many again. Words
+that at most RARE sets show are rare; a set that shows e + 1 rare ones is met by these alone, any other by all words it
+shows, so a word that many sets show makes no pairs among sets that have rarer ones. Similar sets show a common word (prefix filter), neither has over 5/4 of the
 other's words (length filter), and the words beyond the shown ones cannot make up for too few common shown ones
 (position filter). What passes is verified on the whole sets. Sets of up to three words match equal ones only.
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .tables import Scratch
 
 SLOTS = 1 << 18
+RARE = 8  # sets that may show a word which every set is met by
 SMALL = 4_000_000  # removed lines whose numbers are broadcast at most (about 64 MB); more are joined by a shuffle
 
 
@@ -47,6 +50,12 @@ def _need(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
+def _shown(n: Column) -> Column:
+    """Words that a set of n shows: one more than it may lack, half as many again and two."""
+    lack = n - _need(n) + 1
+    return F.least(n, lack + F.floor(lack / 2).cast("int") + 2)
+
+
 def _hashes(line: Column) -> Column:
     """Hashes of a line's distinct words, sorted."""
     return F.sort_array(F.transform(F.array_distinct(F.array_remove(_split(line), "")), lambda w: F.xxhash64(w)))
@@ -71,22 +80,24 @@ def removed(docs: DataFrame) -> DataFrame:
         return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
     n = F.size("words")
-    head = F.slice(F.sort_array(F.transform("words", ranked)), 1, n - _need(n) + 1)
+    head = F.slice(F.sort_array(F.transform("words", ranked)), 1, _shown(n))
     sets = sets.select("doc_id", "line", F.xxhash64("words").alias("h"), n.alias("n"), F.when(n > 3, head).alias("head"))
     sets = scratch.put(sets, "sets")
 
-    # words that two different sets show
-    shown = sets.select("h", "n", F.explode("head").alias("word"))
-    word = W.partitionBy("word")
-    shared = shown.select("h", "n", "word", F.min("h").over(word).alias("low"), F.max("h").over(word).alias("high")).where("low < high").select("h", "n", "word").distinct()
-    shared = scratch.put(shared, "shared")
-    one, two = shared.alias("x"), shared.alias("y")
+    # words that two sets show at least; frequent ones are met by sets that show too few rare ones, and by what meets them
+    shown = sets.where("n > 3").groupBy("h").agg(F.first("n").alias("n"), F.first("head").alias("head")).select("h", "n", F.explode("head").alias("word"))
+    shared = shown.withColumn("g", F.count("*").over(W.partitionBy("word"))).where("g > 1")
+    shared = scratch.put(shared.select("h", "n", "word", (F.col("g") > RARE).alias("often")), "shared")
+    common = shared.where("often").groupBy("h").agg(F.count("*").cast("int").alias("f"))
+    marked = shared.join(common, "h", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    marked = scratch.put(marked.withColumn("dense", _shown(F.col("n")) - F.col("f") < F.col("n") - _need(F.col("n")) + 1), "marked")
+    one, two = marked.alias("x"), marked.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    pairs = one.join(two, (x("word") == y("word")) & (x("h") < y("h")) & _near(x("n"), y("n")))
-    pairs = pairs.groupBy(x("h").alias("a"), y("h").alias("b"), x("n").alias("na"), y("n").alias("nb")).agg(F.count("*").alias("common"))
-    beyond = F.greatest(_need(F.col("na")) - 1, _need(F.col("nb")) - 1)
-    pairs = scratch.put(pairs.where(9 * (F.col("common") + beyond) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-    scratch.drop("shared")
+    pairs = one.join(two, (x("word") == y("word")) & (x("h") < y("h")) & _near(x("n"), y("n")) & (~x("often") | x("dense") | y("dense")))
+    pairs = pairs.groupBy(x("h").alias("a"), y("h").alias("b"), x("n").alias("na"), y("n").alias("nb"), F.when(x("dense") | y("dense"), 0).otherwise(F.least(x("f"), y("f"))).alias("more")).agg(F.count("*").alias("common"))
+    beyond = F.greatest(F.col("na") - _shown(F.col("na")), F.col("nb") - _shown(F.col("nb")))
+    pairs = scratch.put(pairs.where(9 * (F.col("common") + F.col("more") + beyond) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+    scratch.drop("shared", "marked")
 
     first = sets.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     some = first.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h")

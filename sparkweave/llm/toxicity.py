@@ -16,7 +16,7 @@ inputs of a score; other columns are not read.
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ HEAD = 11  # longest word beginning, with its space
 @dataclass(frozen=True)
 class Params:
     examples: int = 4_000  # labelled rows of each label
-    terms: int = 8_000
+    terms: int = 2_000
     lengths: tuple[int, ...] = (4, 5, 6)  # of the n-grams inside words; beginnings and whole words are terms as well
     least: int = 6  # documents of label 1 with a term
     purity: float = 0.9  # share of label 1 among the documents with a term, labels taken as equally frequent
@@ -57,36 +57,52 @@ def _grams(text: str, lengths) -> set:
 
 @dataclass
 class Index:
-    """Examples by number: block-max inverted index. post[t]: (examples, weights), sorted; top: terms x blocks."""
+    """Examples by number: block-max inverted index. post[t]: (examples, weights), sorted; cut[t]: where each block's
+    postings begin; top: largest weight, terms x blocks."""
 
     post: list
+    cut: np.ndarray
     top: np.ndarray
     labels: np.ndarray
     ids: list
-    size: int = field(default=0)
+
+    def _scored(self, terms, weights, blocks):
+        """Cosines of all examples of some blocks; each block's rows are read from its own part of the postings."""
+        score = np.zeros(self.top.shape[1] * BLOCK)
+        every = len(blocks) > 16
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            rows, value = self.post[t]
+            if every:
+                score[rows] += w * value
+            else:
+                cut = self.cut[t]
+                for b in blocks:
+                    if cut[b + 1] > cut[b]:
+                        part = slice(cut[b], cut[b + 1])
+                        score[rows[part]] += w * value[part]
+        return score
 
     def nearest(self, terms, weights, k: int, skip: int = -1):
-        """Numbers and cosines of the k nearest examples with a cosine over 0."""
+        """Numbers and cosines of the k nearest examples with a cosine over 0; ties by number.
+
+        The blocks of the highest bounds are scored first; of the others only those whose bound reaches the k-th best
+        cosine found there can hold a nearer example, and they are scored as well.
+        """
         bounds = weights @ self.top[terms]
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        at, step = 0, max(1, 2 * k // BLOCK)
-        while at < len(order) and bounds[order[at]] > 0:
-            if len(best) >= k and bounds[order[at]] < -best[k - 1][0] - 1e-9:
-                break
-            blocks = order[at : at + step]
-            at += step
-            for b in blocks.tolist():
-                score = np.zeros(BLOCK)
-                for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                    if self.top[t, b]:
-                        rows, value = self.post[t]
-                        first, last = np.searchsorted(rows, (b * BLOCK, (b + 1) * BLOCK))
-                        score[rows[first:last] - b * BLOCK] += w * value[first:last]
-                found = np.flatnonzero(score > 0)
-                best += [(-round(float(score[j]), 12), b * BLOCK + j) for j in found.tolist() if b * BLOCK + j != skip]
-            best = sorted(best)[:k]
-        return [n for _, n in best], [-s for s, _ in best]
+        first = order[:4].tolist()
+        score = self._scored(terms, weights, first)
+        found = score[np.concatenate([np.arange(b * BLOCK, (b + 1) * BLOCK) for b in first])]
+        least = np.partition(found, -k - 1)[-k - 1] if len(found) > k else 0.0  # one more than k: `skip` may be among them
+        rest = [b for b in order[4:].tolist() if bounds[b] > 0 and bounds[b] >= least - 1e-9]
+        if rest:
+            score = self._scored(terms, weights, first + rest)
+        score = np.round(score, 12)
+        if skip >= 0:
+            score[skip] = 0
+        hits = np.flatnonzero(score > 0)
+        hits = hits[np.lexsort((hits, -score[hits]))][:k]
+        return hits.tolist(), score[hits].tolist()
 
 
 @dataclass
@@ -140,6 +156,19 @@ def _logistic(x, y, ridge=1.0, steps=50):
     return w
 
 
+def _distinct(rows, most: int) -> list:
+    """The first `most` terms that are not, with about the same documents, a part or an extension of an earlier one."""
+    out, by_count = [], {}
+    for r in rows:
+        near = [t for c in range(int(r.one * 0.9), int(r.one * 1.1) + 1) for t in by_count.get(c, ())]
+        if not any(r.term in t or t in r.term for t in near):
+            out.append(r)
+            by_count.setdefault(r.one, []).append(r.term)
+            if len(out) == most:
+                break
+    return out
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -174,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     a, b, c, d = F.col("one"), F.col("zero"), n1 - F.col("one"), n0 - F.col("zero")
     chi = (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) + 1.0)
     kept = counts.where((F.col("one") >= params.least) & (share >= params.purity)).withColumn("chi", chi.cast("double"))
-    chosen = kept.orderBy(F.desc("chi"), "term").limit(params.terms).collect()
+    chosen = _distinct(kept.orderBy(F.desc("chi"), "term").limit(4 * params.terms).collect(), params.terms)
     if not chosen:
         return none
     terms = {r.term: k for k, r in enumerate(chosen)}
@@ -200,7 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
             post[t][0].append(number)
             post[t][1].append(w)
             top[t, number // BLOCK] = max(top[t, number // BLOCK], w)
-    model.index = Index([(np.array(r, np.int64), np.array(w)) for r, w in post], top, np.array([examples[i].toxic for i in used], float), [examples[i].doc_id for i in used])
+    packed = [(np.array(r, np.int64), np.array(w)) for r, w in post]
+    cut = np.array([np.searchsorted(r, np.arange(blocks + 1) * BLOCK) for r, _ in packed])
+    model.index = Index(packed, cut, top, np.array([examples[i].toxic for i in used], float), [examples[i].doc_id for i in used])
     number = {i: k for k, i in enumerate(used)}
     x = np.array([model.evidence(bag, number.get(i, -1))[0] for i, bag in enumerate(bags)])
     y = np.array([r.toxic for r in examples], float)
