@@ -6,16 +6,21 @@ smaller number in the same document - if the Jaccard similarity of their sets is
 an earlier line is removed, whether or not that one is itself removed. Lines without words stay.
 
 Equal sets are one class: all its lines but the first go, and the first goes if a similar class starts earlier. Words
-are ordered by rarity: the counts of all words, added up in SLOTS cells by hash, give each word one of 128
-frequency levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n words
-shows the head of this order: the e + 1 = n - ceil(0.8 n) + 1 words of a prefix filter and half as many again. Words
-that at most RARE sets show are rare; a set that shows e + 1 rare ones is met by these alone, any other by all words it
-shows, so a word that many sets show makes no pairs among sets that have rarer ones. Similar sets show a common word (prefix filter), neither has over 5/4 of the
-other's words (length filter), and the words beyond the shown ones cannot make up for too few common shown ones
-(position filter). What passes is verified on the whole sets. Sets of up to three words match equal ones only.
-
-Words and sets are compared by 64-bit hashes. Null texts stay null, empty ones empty; of rows that repeat an id and a
-text the lines are removed alike; other columns pass through unchanged.
+are ordered by rarity: the counts of all words, added up in SLOTS cells by hash, give each word one of 128 frequency
+levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n
+words shows the first n - ceil(0.8 n) + 1 of this order. Similar sets show a common word (prefix filter), neither has
+over 5/4 of the other's words (length filter), and the places of the common word leave room for enough common words
+before and after it (position filter). Each shown word travels with 128 parity bits of its whole set: bits in which
+two sets differ are at most the words in which they differ, which drops almost all other pairs inside the join. What
+passes is verified on the whole sets.
+
+Pairs are made in two rounds. In the first a set meets, for each word that it shows, the earliest set that shows it and
+the one before itself. Sets that this beats need no second round, though they still beat others; so a large group of
+near copies costs in proportion to its members. In the second round all others meet all earlier sets. Sets of up to
+three words match equal ones only.
+
+Words and sets are compared by 64-bit hashes. Null texts stay null, empty ones empty; rows without an id are left alone
+and beat none; of rows that repeat an id and a text the lines are removed alike; other columns pass through unchanged.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -24,24 +29,27 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch
 
-SLOTS = 1 << 18
-RARE = 8  # sets that may show a word which every set is met by
+SLOTS = 1 << 20
+PLACE = (1 << 31) - 1
+ROW = 1024  # cells that come to the driver in one row
 SMALL = 4_000_000  # removed lines whose numbers are broadcast at most (about 64 MB); more are joined by a shuffle
 
 
-def _split(text: Column) -> Column:
-    """Words of a text and empty strings between them."""
-    return F.split(F.translate(text, "\t\x0b\x0c\r\n", "     "), " ")
+def _plain(text: Column) -> Column:
+    """Text with spaces for the characters between words other than line feeds."""
+    return F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def _levels(docs: DataFrame) -> bytes:
     """Frequency level (0 to 127, eight to a doubling) of the words of each cell, a byte each."""
-    words = docs.select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''")
+    words = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("word")).where("word <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("k"))
-    level = F.least(F.lit(127), F.round(4 * F.log2(F.col("k") + 1)).cast("int"))
+    cells = counts.select("slot", F.least(F.lit(127), F.round(4 * F.log2(F.col("k") + 1)).cast("int")).alias("level"))
+    rows = cells.groupBy(F.floor(F.col("slot") / ROW)).agg(F.collect_list(F.struct("slot", "level")).alias("cells"))
     out = bytearray(SLOTS)
-    for r in counts.select("slot", level.alias("level")).toLocalIterator():  # SLOTS rows at most
-        out[r.slot] = r.level
+    for r in rows.select("cells.slot", "cells.level").toLocalIterator():  # SLOTS / ROW rows at most
+        for slot, level in zip(r.slot, r.level, strict=True):
+            out[slot] = level
     return bytes(out)
 
 
@@ -50,75 +58,93 @@ def _need(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _shown(n: Column) -> Column:
-    """Words that a set of n shows: one more than it may lack, half as many again and two."""
-    lack = n - _need(n) + 1
-    return F.least(n, lack + F.floor(lack / 2).cast("int") + 2)
+def _hashes(line: Column) -> Column:
+    """Hashes of a plain line's distinct words, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))))
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of a line's distinct words, sorted."""
-    return F.sort_array(F.transform(F.array_distinct(F.array_remove(_split(line), "")), lambda w: F.xxhash64(w)))
+def _parity(words: Column, low: bool) -> Column:
+    """64 bits; each word of one half (by its lowest bit) turns one of them."""
+    one = F.lit(1).cast("long")
+    mine = (lambda w: w.bitwiseAND(one)) if low else (lambda w: F.bitwise_not(w).bitwiseAND(one))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", mine(w), F.shiftrightunsigned(w, 1).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _close(x, y) -> Column:
+    """Whether two sets that show a word may be similar. y.meta of a beaten set counts as a set of too many words."""
+    n, m = F.shiftrightunsigned(x("meta"), 31).bitwiseAND(F.lit(PLACE)), F.shiftrightunsigned(y("meta"), 31)
+    i, j = x("meta").bitwiseAND(F.lit(PLACE)), y("meta").bitwiseAND(F.lit(PLACE))
+    apart = F.bit_count(x("even").bitwiseXOR(y("even"))) + F.bit_count(x("odd").bitwiseXOR(y("odd")))
+    room = F.least(i, j) + F.least(n - i, m - j)
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m) & (9 * room >= 4 * (n + m))
 
 
-def _near(n, m):
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
+def _shown(sets: DataFrame) -> DataFrame:
+    """word, doc, line, meta (beaten, words and place of the word, packed), parity bits: a row for each shown word."""
+    packed = F.when(F.col("beaten"), F.lit(1 << 62)).otherwise(F.lit(0).cast("long")) + F.shiftleft(F.col("n").cast("long"), 31)
+    rows = sets.select("doc", "line", packed.alias("meta"), "even", "odd", F.posexplode("head").alias("place", "word"))
+    return rows.select("word", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "even", "odd")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """doc, line of the later sets of those pairs (doc, line; doc2, line2, the later) that are similar. docs: plain texts."""
+    pairs = scratch.put(pairs.distinct(), f"pairs-{name}")
+    lines = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct()
+    ids = lines.select(F.col("doc").alias("doc_id")).distinct()
+    few = ids.count() <= SMALL
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bodies = texts.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    picked = scratch.put(bodies.join(lines, ["doc", "line"]).select("doc", "line", _hashes(F.col("body")).alias("words")), f"words-{name}")
+    both = pairs.join(picked, ["doc", "line"]).join(picked.toDF("doc2", "line2", "words2"), ["doc2", "line2"])
+    alike = both.where(9 * F.size(F.array_intersect("words", "words2")) >= 4 * (F.size("words") + F.size("words2")))
+    found = scratch.put(alike.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")).distinct(), f"beaten-{name}")
+    scratch.drop(f"pairs-{name}", f"words-{name}")
+    return found
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, lines: the numbers from 0 of each document's removed lines, if any. docs: doc_id, text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    docs = docs.select("doc_id", "text").where("text is not null")
+    scratch = Scratch(docs.sparkSession, "lines")
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", _plain(F.col("text")).alias("text"))
     levels = F.lit(_levels(docs))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    sets = lines.select("doc_id", "line", _hashes(F.col("body")).alias("words")).where(F.size("words") > 0)
+    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
 
     def ranked(w):
-        slot = F.pmod(w, F.lit(SLOTS)).cast("int")
-        level = F.ascii(F.substring(levels, slot + 1, F.lit(1)).cast("string"))
+        level = F.ascii(F.substring(levels, F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
     n = F.size("words")
-    head = F.slice(F.sort_array(F.transform("words", ranked)), 1, _shown(n))
-    sets = sets.select("doc_id", "line", F.xxhash64("words").alias("h"), n.alias("n"), F.when(n > 3, head).alias("head"))
-    sets = scratch.put(sets, "sets")
-
-    # words that two sets show at least; frequent ones are met by sets that show too few rare ones, and by what meets them
-    shown = sets.where("n > 3").groupBy("h").agg(F.first("n").alias("n"), F.first("head").alias("head")).select("h", "n", F.explode("head").alias("word"))
-    shared = shown.withColumn("g", F.count("*").over(W.partitionBy("word"))).where("g > 1")
-    shared = scratch.put(shared.select("h", "n", "word", (F.col("g") > RARE).alias("often")), "shared")
-    common = shared.where("often").groupBy("h").agg(F.count("*").cast("int").alias("f"))
-    marked = shared.join(common, "h", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    marked = scratch.put(marked.withColumn("dense", _shown(F.col("n")) - F.col("f") < F.col("n") - _need(F.col("n")) + 1), "marked")
-    one, two = marked.alias("x"), marked.alias("y")
+    head = F.slice(F.array_sort(F.transform("words", ranked)), 1, n - _need(n) + 1)
+    more = [F.when(n > 3, x).alias(c) for c, x in (("head", head), ("even", _parity(F.col("words"), False)), ("odd", _parity(F.col("words"), True)))]
+    sets = lines.select("doc", "line", _hashes(F.col("body")).alias("words")).where(F.size("words") > 0)
+    every = scratch.put(sets.select("doc", "line", F.xxhash64("words").alias("h"), n.alias("n"), *more), "every")
+    rest = F.struct("n", "head", "even", "odd")
+    first = every.where("n > 3").groupBy("h").agg(F.min(F.struct("doc", "line", rest.alias("rest"))).alias("first"))
+    first = scratch.put(first.select("h", "first.doc", "first.line", "first.rest.*"), "first")
+    sets = scratch.put(every.select("doc", "line", "h"), "sets")
+    scratch.drop("every")
+
+    shown = _shown(first.withColumn("beaten", F.lit(False)))
+    at, own = W.partitionBy("word").orderBy("doc", "line"), F.struct("doc", "line", "meta", "even", "odd")
+    met = shown.select(own.alias("y"), F.first(own).over(at).alias("x1"), F.lag(own).over(at).alias("x2"))
+    met = met.where("x2 is not null").select("y", F.explode(F.array("x1", "x2")).alias("x"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    pairs = one.join(two, (x("word") == y("word")) & (x("h") < y("h")) & _near(x("n"), y("n")) & (~x("often") | x("dense") | y("dense")))
-    pairs = pairs.groupBy(x("h").alias("a"), y("h").alias("b"), x("n").alias("na"), y("n").alias("nb"), F.when(x("dense") | y("dense"), 0).otherwise(F.least(x("f"), y("f"))).alias("more")).agg(F.count("*").alias("common"))
-    beyond = F.greatest(F.col("na") - _shown(F.col("na")), F.col("nb") - _shown(F.col("nb")))
-    pairs = scratch.put(pairs.where(9 * (F.col("common") + F.col("more") + beyond) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-    scratch.drop("shared", "marked")
-
-    first = sets.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    some = first.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h")
-    some = scratch.put(some.select("h", "first.doc_id", "first.line"), "some")
-    wanted = some.select("doc_id").distinct()
-    few = wanted.count() <= SMALL
-    picked = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    picked = picked.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).join(some, ["doc_id", "line"])
-    picked = scratch.put(picked.select("h", F.struct("doc_id", "line").alias("first"), _hashes(F.col("body")).alias("words")), "picked")
-    left = picked.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("words").alias("wa"))
-    right = picked.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    alike = both.where(9 * common >= 4 * (F.size("wa") + F.size("wb")))
-    beaten = alike.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("beaten", F.lit(True))
-
-    starts = first.join(beaten, "h", "left").select("h", "first", F.coalesce("beaten", F.lit(False)).alias("beaten"))
-    again = sets.groupBy("h").agg(F.count("*").alias("k"))
-    suspect = starts.join(again, "h").where("beaten or k > 1").select("h", "first", "beaten")
-    gone = sets.select("doc_id", "line", "h").join(suspect, "h").where("beaten or struct(doc_id, line) <> first")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
+    pair = [x("doc").alias("doc"), x("line").alias("line"), y("doc").alias("doc2"), y("line").alias("line2")]
+    beaten = _similar(docs, met.where(_close(x, y)).select(*pair), scratch, "one")
+
+    marked = first.join(beaten.withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
+    marked = scratch.put(marked, "marked")
+    scratch.drop("first")
+    shown = _shown(marked)
+    pairs = shown.alias("x").join(shown.alias("y").hint("merge"), (x("word") == y("word")) & earlier & _close(x, y))
+    beaten = beaten.union(_similar(docs, pairs.select(*pair), scratch, "two"))
+    beaten = beaten.join(marked.select("doc", "line", "h"), ["doc", "line"]).select("h", F.lit(True).alias("beaten"))
+
+    starts = sets.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k"))
+    suspect = starts.join(beaten, "h", "left").where("beaten or k > 1").select("h", "first", F.coalesce("beaten", F.lit(False)).alias("beaten"))
+    gone = sets.join(suspect, "h").where("beaten or struct(doc, line) <> first")
+    return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
