@@ -42,7 +42,8 @@ def _plain(text: Column) -> Column:
 
 def _levels(docs: DataFrame) -> bytes:
     """Frequency level (0 to 127, eight to a doubling) of the words of each cell, a byte each."""
-    words = docs.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("word")).where("word <> ''")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("body"))
+    words = lines.select(F.explode(F.split("body", " ")).alias("word")).where("word <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("k"))
     cells = counts.select("slot", F.least(F.lit(127), F.round(4 * F.log2(F.col("k") + 1)).cast("int")).alias("level"))
     rows = cells.groupBy(F.floor(F.col("slot") / ROW)).agg(F.collect_list(F.struct("slot", "level")).alias("cells"))
@@ -60,7 +61,7 @@ def _need(n: Column) -> Column:
 
 def _hashes(line: Column) -> Column:
     """Hashes of a plain line's distinct words, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))))
 
 
 def _parity(words: Column, low: bool) -> Column:
@@ -114,9 +115,9 @@ def removed(docs: DataFrame) -> DataFrame:
         return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
     n = F.size("words")
-    head = F.slice(F.array_sort(F.transform("words", ranked)), 1, n - _need(n) + 1)
+    head = F.slice(F.sort_array(F.transform("words", ranked)), 1, n - _need(n) + 1)
     more = [F.when(n > 3, x).alias(c) for c, x in (("head", head), ("even", _parity(F.col("words"), False)), ("odd", _parity(F.col("words"), True)))]
-    sets = lines.select("doc", "line", _hashes(F.col("body")).alias("words")).where(F.size("words") > 0)
+    sets = lines.where("ltrim(body) <> ''").select("doc", "line", _hashes(F.col("body")).alias("words"))
     every = scratch.put(sets.select("doc", "line", F.xxhash64("words").alias("h"), n.alias("n"), *more), "every")
     rest = F.struct("n", "head", "even", "odd")
     first = every.where("n > 3").groupBy("h").agg(F.min(F.struct("doc", "line", rest.alias("rest"))).alias("first"))
