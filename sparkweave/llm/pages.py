@@ -5,13 +5,17 @@ For each node of this tree two entropies are taken over the host's pages: that o
 its children's tags) and that of its content (its text), both as shares of their maximum. A node that looks and reads
 alike on many pages has low importance; nodes below the threshold are removed from each page with all that is below
 them. Nodes that name themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments are removed
-too. Where a page marks its main part (article, main), this part is the text and only such self-named nodes go.
+too. Where a page marks its main part (article, main), the mark chooses the root of the text: the same verdicts hold
+inside it and for it, but they never empty it (a page left without any text keeps its marked parts without verdicts).
 
-Counts are added up before they are shuffled, so a host with a third of all pages is no larger a group than others.
+Copies of a page (equal html on a host) are one page of the tree, and equal nodes of a page count once, so neither
+makes a page's own text look like boilerplate. Groups hold a page's part of a node, so a host with a third of all pages
+is no larger a group than others; a node is named by a hash of its whole path.
 Null or empty pages give an empty text; a page whose markup ends early is read to its end; repeated rows are pages of
 their own; a page without a host in its url belongs to the host "". Other columns are not read.
 """
 
+import hashlib
 import html as entities
 import re
 from dataclasses import dataclass
@@ -54,6 +58,10 @@ class _Node:
         self.children, self.parts = [], []  # tags of children; texts and nodes in page order
 
 
+def _hash(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "replace")).hexdigest()[:16]
+
+
 def _parse(page: str) -> _Node:
     """The structural tree of a page; text stands in it with a space for each end of a block."""
     root = _Node("body", "body", False, False)
@@ -109,7 +117,7 @@ def _parse(page: str) -> _Node:
                 outside = not any(n.main for n in stack)
                 noise = tag in NOISE or hidden or (tag == "header" and outside) or (bool(NAMES.search(name)) and (not main or "comment" in name.lower())) or role in ("navigation", "banner", "contentinfo", "complementary", "search")
                 path = f"{here.path}/{tag}" + (f".{name.strip()}" if name.strip() else "")
-                node = _Node(tag, path[-300:], noise, main)
+                node = _Node(tag, _hash(path), noise, main)
                 here.parts.append(node)
                 stack.append(node)
         else:
@@ -122,37 +130,32 @@ def _parse(page: str) -> _Node:
     return root
 
 
-def _text(node: _Node, dropped, inside: bool, raw: bool = False) -> str:
+def _text(node: _Node, dropped, raw: bool = False) -> str:
     out, todo = [], [iter(node.parts)]
-    state = [inside]
     while todo:
         for part in todo[-1]:
             if isinstance(part, str):
                 out.append(part)
                 continue
             out.append(" ")
-            if raw or not (part.noise or (part.path in dropped and not state[-1] and not part.main)):
+            if raw or not (part.noise or part.path in dropped):
                 todo.append(iter(part.parts))
-                state.append(state[-1] or part.main)
                 break
         else:
             todo.pop()
-            state.pop()
             out.append(" ")
     return "".join(out)
 
 
 def _mains(root: _Node) -> list[_Node]:
+    """The outermost marked parts in page order; those inside them are theirs."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        for part in reversed([p for p in node.parts if not isinstance(p, str)]):
-            if not part.noise:
-                todo.append(part)
         if node.main:
             out.append(node)
-            while todo and todo[-1].path.startswith(node.path + "/") and any(todo[-1] is p for p in node.parts):
-                todo.pop()
+        else:
+            todo += reversed([p for p in node.parts if not isinstance(p, str) and not p.noise])
     return out
 
 
@@ -160,8 +163,10 @@ def main_text(page: str, dropped=frozenset()) -> str:
     """The main text of one page, without the host's low-importance nodes (paths)."""
     root = _parse(page or "")
     mains = _mains(root)
-    text = " ".join(_text(n, dropped, True) for n in mains) if mains else _text(root, dropped, False)
-    return " ".join(text.split())
+    text = " ".join(_text(n, dropped) for n in (mains or [root]) if n.path not in dropped).split()
+    if mains and dropped and not text:
+        text = " ".join(_text(n, ()) for n in mains).split()
+    return " ".join(text)
 
 
 def nodes_of(page: str) -> list[tuple[str, str, str]]:
@@ -171,7 +176,7 @@ def nodes_of(page: str) -> list[tuple[str, str, str]]:
         node = todo.pop()
         if node.path != "body":
             style = ",".join(t for k, t in enumerate(node.children) if not k or t != node.children[k - 1])
-            out.append((node.path, style, " ".join(_text(node, (), True, raw=True).split())))
+            out.append((node.path, style, " ".join(_text(node, (), raw=True).split())))
         todo += [p for p in node.parts if not isinstance(p, str)]
     return out
 
@@ -182,20 +187,24 @@ def _host(url):
 
 def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """host, path, pages, importance of every node that enough pages of its host have."""
-    import hashlib
 
     def run(batches):
         for batch in batches:
             for first, last in slices(batch.column(1)):
                 rows = []
                 for host, page in zip(batch.column(0).slice(first, last - first).to_pylist(), batch.column(1).slice(first, last - first).to_pylist(), strict=True):
+                    own, met = _hash(page), set()
                     for path, style, content in nodes_of(page):
-                        rows.append((host, path, hashlib.md5(style.encode()).hexdigest()[:16], hashlib.md5(content.encode()).hexdigest()[:16]))
+                        rows.append((host, path, _hash(style), _hash(content), own, path not in met))
+                        met.add(path)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["host", "path", "style", "content"])
+                    types = (*[pa.string()] * 5, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "path", "style", "content", "page", "first"])
 
-    seen = pages.select(_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path string, style string, content string")
-    seen = seen.groupBy("host", "path", "style", "content").agg(F.count("*").alias("k"))
+    seen = pages.select(_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, path string, style string, content string, page string, first boolean")
+    # first: the path's first node in its page, so that its sum over a path counts pages
+    seen = seen.groupBy("host", "path", "style", "content", "page").agg(F.max("first").cast("long").alias("first"))
+    seen = seen.groupBy("host", "path", "style", "content").agg(F.count("*").alias("k"), F.sum("first").alias("pages"))
     seen = Scratch(pages.sparkSession, "styles").put(seen, "seen")
 
     def entropy(what):
@@ -204,9 +213,9 @@ def style_tree(pages: DataFrame, params: Params = Params()) -> DataFrame:
         share = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
         return sums.select("host", "path", "m", share.alias(what))
 
-    both = entropy("style").join(entropy("content").drop("m"), ["host", "path"])
-    importance = F.greatest("style", "content")
-    return both.where(F.col("m") >= params.pages).select("host", "path", F.col("m").alias("pages"), importance.alias("importance"))
+    pages_of = seen.groupBy("host", "path").agg(F.sum("pages").alias("pages"))
+    both = entropy("style").drop("m").join(entropy("content").drop("m"), ["host", "path"]).join(pages_of, ["host", "path"])
+    return both.where(F.col("pages") >= params.pages).select("host", "path", "pages", F.greatest("style", "content").alias("importance"))
 
 
 def extract(pages: DataFrame, params: Params = Params(), keep: list[str] | None = None) -> DataFrame:
