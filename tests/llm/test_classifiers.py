@@ -66,3 +66,23 @@ def test_licenses(spark):
     for k in range(120):
         assert got[k].families == ([list(lines)[k % 4]] if k % 3 == 0 else []), k
     assert got[500].families == [] and got[500].n_paragraphs == 0 and got[502].families == []
+
+
+def test_wrapped_and_embedded_licenses(spark):
+    rng = random.Random(8)
+    rows, _ = corpus(rng, 120)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the\nSoftware without restriction"
+    gpl = "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation"
+    lgpl = gpl.replace("GNU General", "GNU Lesser General")
+    long = " ".join(t for _, t, _ in rows[:40])
+    texts = [
+        (mit, ["MIT"], 1), (gpl, ["GPL"], 1), (lgpl, ["LGPL"], 1), (f"{long}\n{mit}\n{long}", ["MIT"], 1), (f"{long} Licensed under CC BY-NC 4.0. {long}", ["CC-BY-NC"], 1),
+        (f"a b\n \t\n{long} {gpl} {long} All rights reserved. {long}\n\n\nend", ["GPL", "proprietary"], 3), (f"{long} licensed under the {long} free of charge to any person {long}", [], 1),
+        ("under the terms of the treaty the rights of the author are related to this work", [], 1),
+    ]
+    docs = spark.createDataFrame([(1000 + k, t, s) for k, t, s in rows] + [(k, t, 0.0) for k, (t, _, _) in enumerate(texts)], "doc_id long, text string, x double")
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    for k, (_, families, blocks) in enumerate(texts):
+        assert (got[k].families, got[k].n_paragraphs) == (families, blocks), (k, got[k].findings)
+    assert [f.paragraph for f in got[5].findings] == [1, 1]
+    assert not any(got[1000 + k].families for k, _, _ in rows)
