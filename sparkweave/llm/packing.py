@@ -79,61 +79,77 @@ def _best_fit(lengths, capacity):
     return bins, fill
 
 
-def _improve(a, b, lengths, capacity):
-    """One step between a fuller bin a and an emptier bin b that increases the squared fill; None if there is none.
-
-    The fuller bin gains `gain` tokens: by a piece moved to it, by one exchanged for a shorter one, or by two exchanged
-    for one. The largest gain that fits is taken.
-    """
-    free = capacity - sum(lengths[k] for k in a)
-    best, step = 0, None
-    short = sorted(b, key=lambda k: (lengths[k], k))
-    for k in short:
-        if best < lengths[k] <= free:
-            best, step = lengths[k], ((), (k,))
-    for x in a:
-        for k in short:
-            gain = lengths[k] - lengths[x]
-            if best < gain <= free:
-                best, step = gain, ((x,), (k,))
-        i, j = 0, len(short) - 1
-        while i < j:
-            gain = lengths[short[i]] + lengths[short[j]] - lengths[x]
-            if gain > free:
-                j -= 1
-            else:
-                if gain > best:
-                    best, step = gain, ((x,), (short[i], short[j]))
-                i += 1
-    return step
-
-
-def pack(lengths, capacity: int = CAPACITY, tries: int = 64):
+def _gives(members, size):
+    """What an emptier bin can give in one step: amounts in order, and the pieces of each. Single pieces, and pairs."""
+    single = {}
+    for k in members:
+        single.setdefault(size[k], (k,))
+    both = dict(single)
+    order = sorted(members, key=lambda k: size[k])
+    for i, j in enumerate(order):
+        for k in order[i + 1 :]:
+            both.setdefault(size[j] + size[k], (j, k))
+    return (np.array(sorted(single)), single), (np.array(sorted(both)), both)
+
+
+def _largest(amounts, takes, free):
+    """The largest gain by giving one of the amounts for what is taken back, where at most `free` fits; -1 for none."""
+    at = np.searchsorted(amounts, takes + free, side="right") - 1
+    gain = np.where(at >= 0, amounts[np.maximum(at, 0)] - takes, -1)
+    best = int(gain.argmax()) if len(gain) else -1
+    return (int(gain[best]), best, int(amounts[at[best]])) if best >= 0 and gain[best] > 0 else (0, -1, 0)
+
+
+def pack(lengths, capacity: int = CAPACITY):
     """Bin of each piece and its place there. Bins that an exchange could still fill are searched; empty ones vanish.
 
-    tries: fuller bins that an emptier bin is compared with in one round of the search.
+    A fuller bin gains tokens from an emptier one by a piece moved to it, by one exchanged for a shorter one, or by two
+    exchanged for one; every such step increases the sum of squared fills. For each bin, emptiest first, the largest
+    gain among all fuller bins is taken until there is none. The search ends when no pair of bins has a step; a pair is
+    looked at again only if one of its bins has changed since.
     """
     lengths = np.asarray(lengths, dtype=np.int64)
-    bins, fill = _best_fit(lengths, capacity)
+    bins, filled = _best_fit(lengths, capacity)
     size = lengths.tolist()
+    fill = np.array(filled, dtype=np.int64)
+    where = np.zeros(len(lengths), np.int64)  # bin of each piece
+    for b, members in enumerate(bins):
+        where[members] = b
+    changed, seen, clock = np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64), 1  # times of change and of the last look
     moved = True
     while moved:
         moved = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        for low in under[:tries]:
-            for high in [b for b in reversed(under) if b != low and fill[b] >= fill[low]][:tries]:
-                while fill[low] and fill[high] < capacity and (step := _improve(bins[high], bins[low], size, capacity)):
-                    out, into = step
-                    gain = sum(size[k] for k in into) - sum(size[k] for k in out)
-                    if (fill[high] + gain) ** 2 + (fill[low] - gain) ** 2 <= fill[high] ** 2 + fill[low] ** 2:
-                        break
-                    bins[high] = [k for k in bins[high] if k not in out] + list(into)
-                    bins[low] = [k for k in bins[low] if k not in into] + list(out)
-                    fill[high] += gain
-                    fill[low] -= gain
-                    moved = True
-                if not fill[low]:
+        under = np.flatnonzero((fill > 0) & (fill < capacity))
+        live = np.flatnonzero(np.isin(where, under))  # pieces of bins that can take part; a full bin stays full
+        for low in under[np.argsort(fill[under], kind="stable")].tolist():
+            while fill[low]:
+                since = 0 if changed[low] > seen[low] else seen[low]
+                fit = (changed[under] > since) & (fill[under] >= fill[low]) & (fill[under] < capacity) & (under != low)
+                highs = under[fit]
+                if not len(highs):
+                    break
+                held = where[live]
+                pieces = live[(changed[held] > since) & (fill[held] >= fill[low]) & (fill[held] < capacity) & (held != low)]
+                (one, by_one), (any_, by_any) = _gives(bins[low], size)
+                move, m, given = _largest(one, np.zeros(len(highs), np.int64), capacity - fill[highs])
+                swap, x, sent = _largest(any_, lengths[pieces], capacity - fill[where[pieces]])
+                gain = max(move, swap)
+                if not gain:
                     break
+                if move >= swap:
+                    high, out, into = int(highs[m]), (), by_one[given]
+                else:
+                    high, out, into = int(where[pieces[x]]), (int(pieces[x]),), by_any[sent]
+                bins[high] = [k for k in bins[high] if k not in out] + list(into)
+                bins[low] = [k for k in bins[low] if k not in into] + list(out)
+                where[list(into)] = high
+                where[list(out)] = low
+                fill[high] += gain
+                fill[low] -= gain
+                clock += 1
+                changed[high] = changed[low] = clock
+                moved = True
+            seen[low] = clock
     number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, members in enumerate(m for m in bins if m):
         at = 0

@@ -37,3 +37,21 @@ def test_documents(spark):
         if g.length.iloc[0] < 4096:
             assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= 4096
     assert packing.place(packing.pieces(docs.limit(0), vocabulary())).count() == 0
+
+
+def test_no_pair_of_bins_has_a_step_left():
+    for low, high, n in ((800, 2500, 1500), (1500, 3500, 1500), (1, 1200, 600)):
+        lengths = np.random.default_rng(3).integers(low, high, n)
+        number, _ = packing.pack(lengths)
+        fill = np.bincount(number, weights=lengths).astype(int)
+        members = [lengths[number == b].tolist() for b in range(len(fill))]
+        under = [b for b in range(len(fill)) if fill[b] < 4096]
+        assert fill.max() <= 4096
+        for b in under:
+            mine = members[b]
+            pairs = {x + y for i, x in enumerate(mine) for y in mine[i + 1 :]} | set(mine)
+            for a in under:
+                if a != b and fill[a] >= fill[b]:
+                    free = 4096 - fill[a]
+                    assert min(mine) > free
+                    assert not any(0 < s - x <= free for s in pairs for x in members[a])
