@@ -24,6 +24,14 @@ _CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|address|server|host|login", "card": "card|credit|visa|payment|pay",
     "phone": "phone|tel|call|mobile|fax", "iban": "iban|account|bank|transfer", "secret": "key|secret|token|password|aws",
 }
+#: Length of an IBAN by its country (ISO 13616 registry, and the countries that use the form without an entry).
+_IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG CV",
+    25: "AO LY PT ST MZ", 26: "DZ IR IS TR", 27: "BF BI BJ CF CG CM DJ FR GA GR IT KM MC MG MR SM TD TG GQ GW",
+    28: "AL AZ BY CI CY DO GT HU LB ML NE NI PL SN SV HN MA YE", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in _IBAN.items())
 _SPAN = "array<struct<start:int,end:int,score:double>>"
 
 
@@ -67,7 +75,7 @@ _RULES = (
     ("phone", True, lambda t: t.contains("+"), "\\+[0-9][ ().0-9-]+[0-9]", lambda c: F.length(_digits(c)).between(9, 15)),
     ("card", False, lambda t: t.rlike("[0-9]{13}"), "(?<![0-9])[0-9]{13,19}+(?![0-9])", _luhn),
     ("phone", False, lambda t: t.contains("+"), "\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}(?![0-9])", None),
-    ("iban", False, lambda t: t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"), "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _mod97),
+    ("iban", False, lambda t: t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}"), f"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])", _mod97),
     ("secret", False, lambda t: t.rlike("AKIA|="), "(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|secret|token|api_key)=[^\\x20\\x09-\\x0D]+)", None),
 )
 

@@ -67,3 +67,19 @@ def test_added_spans_and_redaction(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert pii.find(df).count() == 0 and pii.redact(df).columns == df.columns
+
+
+def test_iban_ends_by_its_country(spark):
+    german, british = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = [
+        (f"IBAN {german} Please pay", german), ("DE89 3704 0044 0532 0130 00 2 days", "DE89 3704 0044 0532 0130 00"), (f"{british} AND", british),
+        (f"{german} {british} BIC", german), ("NO93 8601 1117 947 Oslo", "NO93 8601 1117 947"), ("MT84MALT011000012345MTLCAST001S IBAN", "MT84MALT011000012345MTLCAST001S"),
+        (f"{german}1", None), ("DE88370400440532013000 Please", None),
+    ]
+    df = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: [(s.start, s.end) for s in r["all"] if s.kind == "iban"] for r in pii.find(df).collect()}
+    for k, (t, iban) in enumerate(texts):
+        want = [(t.index(iban), t.index(iban) + len(iban))] if iban else []
+        assert got[k][:1] == want, (t, got[k])
+    assert len(got[3]) == 2
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "IBAN [IBAN] Please pay"
