@@ -19,24 +19,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import slices
+from .bytehash import slices, texts_of
 
-#: White space of Unicode, at which pre-split words never cross. Fixed values.
-_CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split(), but not here
-#: The vocabulary's own splitting pattern, for lower-case printable ASCII.
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_LATIN = re.compile("[!-~À-ÖØ-öø-įı-ŉŊ-ſ]+").fullmatch
-_LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-zß-öø-ſ0-9]+")
+#: What a vocabulary file must ask for: composed forms, lower case, no white space, and the pattern below. Fixed values.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable stand-ins of bytes in a byte-level vocabulary: printable Latin-1 stands for itself, the rest follows U+0100.
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-#: Entries that a worker remembers of chunks, of word heads and of transitions. A full table takes no more: what
+#: Entries that a worker remembers of words and of transitions. A full table takes no more: what
 #: came first is what is common, and the rest is worked out each time.
-MEMORY = 300_000
+MEMORY = 200_000
 _SLOTS = 1 << 20  # of the transition table
+_ARCS_BITS = 19
+_ARCS = 1 << _ARCS_BITS  # of the tree's arcs
+_ODD = 0x9E3779B97F4A7C15
 
 
 class MergeAutomaton:
@@ -68,10 +68,18 @@ class MergeAutomaton:
             for at in ([final] if ends else [inner] if self.suffix else [inner, final]):
                 at[heads[body]] = self.vocab[label]
         self.width = max((ord(c) for h in heads for c in h[-1:]), default=0) + 2
-        self.tree = np.zeros((len(heads), self.width), np.int32)
-        for head, node in heads.items():
-            if head:
-                self.tree[heads[head[:-1]], ord(head[-1])] = node
+        # the tree's arcs (node, letter) in a table addressed by a hash, and the node that each leads to
+        self.arcs, self.to = np.full(_ARCS, -1, np.int64), np.zeros(_ARCS, np.int32)
+        self.known = {heads[h[:-1]] * self.width + ord(h[-1]): node for h, node in heads.items() if h}
+        for key, node in self.known.items():
+            at = (key * _ODD & ((1 << 64) - 1)) >> (64 - _ARCS_BITS)
+            while self.arcs[at] >= 0:
+                at = (at + 1) & (_ARCS - 1)
+            self.arcs[at], self.to[at] = key, node
+        self.first = np.zeros(self.width, np.int32)  # arcs of the root
+        for h, node in heads.items():
+            if len(h) == 1:
+                self.first[ord(h)] = node
         self.ends = np.full((2, len(heads)), -1, np.int32)
         for row, at in enumerate((inner, final)):
             for node, i in at.items():
@@ -79,6 +87,21 @@ class MergeAutomaton:
         self.size = np.array([len(x[: -len(self.suffix)] if self.suffix and x.endswith(self.suffix) and len(x) > len(self.suffix) else x) for x in self.labels], np.int32)
         self._keys, self._oks = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
 
+    def _step(self, node, letter):
+        """Nodes that the arcs (node, letter) lead to; 0 where there is none."""
+        key = node.astype(np.int64) * self.width + letter
+        at = ((key.view(np.uint64) * np.uint64(_ODD)) >> np.uint64(64 - _ARCS_BITS)).astype(np.int64)
+        held = self.arcs[at]
+        out = np.where(held == key, self.to[at], 0)
+        rest = np.flatnonzero((held != key) & (held >= 0))
+        while len(rest):  # what another arc stands in the place of is further on
+            at[rest] = (at[rest] + 1) & (_ARCS - 1)
+            held = self.arcs[at[rest]]
+            hit = held == key[rest]
+            out[rest[hit]] = self.to[at[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        return out
+
     def _gadget(self, step: int, u: str, v: str) -> None:
         if (u, v) in self.cut or not self._arc(u, v):
             return  # no path u, v is left that this merge could replace
@@ -156,7 +179,7 @@ class MergeAutomaton:
         codes = np.minimum(codes, self.width - 1).astype(np.int32)
         length = np.array([len(words[k]) for k in rest], np.int32)
         last = np.full((len(rest), longest + 1), -1, np.int32)
-        tree, (inner, final) = self.tree, self.ends
+        inner, final = self.ends
         for at in range(longest):
             rows = np.flatnonzero(length > at)
             if at:
@@ -164,7 +187,7 @@ class MergeAutomaton:
             node = np.zeros(len(rows), np.int32)
             end = at
             while len(rows):
-                node = tree[node, codes[rows, end]]
+                node = self.first[codes[rows, end]] if end == at else self._step(node, codes[rows, end])
                 end += 1
                 good = node > 0
                 rows, node = rows[good], node[good]
@@ -200,14 +223,14 @@ class MergeAutomaton:
     def encode_long(self, word: str) -> list[int]:
         """Ids of one word of any length, by the same transitions, in time proportional to it."""
         n, last = len(word), [-1] * (len(word) + 1)
-        tree, (inner, final) = self.tree, self.ends
+        inner, final = self.ends
+        get = self.known.get
         for at in range(n):
             if at and last[at] < 0:
                 continue
             node, end = 0, at
             while end < n:
-                code = ord(word[end])
-                node = int(tree[node, code]) if code < self.width else 0
+                node = get(node * self.width + min(ord(word[end]), self.width - 1), 0)
                 end += 1
                 if not node:
                     break
@@ -223,6 +246,20 @@ class MergeAutomaton:
         return out[::-1]
 
 
+def _gathered(flat, first, count, pick):
+    """The runs flat[first:first + count] of the picked entries, one after the other, and where each begins."""
+    size = count[pick]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    take = np.repeat(first[pick] - ends[:-1], size)
+    take += np.arange(len(take))
+    return flat[take], ends
+
+
+def _picked(parts: list[bytes], pick):
+    count = np.array(list(map(len, parts)), np.int64) // 4
+    return _gathered(np.frombuffer(b"".join(parts), "<i4"), np.cumsum(count) - count, count, pick)
+
+
 class Encoder:
     """Texts to ids and back, with a bounded memory of chunks between white space."""
 
@@ -233,6 +270,9 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        normal, split = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if [n["type"] for n in normal.get("normalizers", [])] != _NORMAL or split[0].get("pattern") != {"Regex": _PATTERN} or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: not a vocabulary of lower-case words without white space")
         library = Tokenizer.from_file(path)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
@@ -245,49 +285,90 @@ class Encoder:
         for text, i in self.special.items():
             self.labels[i] = text
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self._labels = pa.array(self.labels, pa.string())
         self._memory: dict[str, bytes] = {}
 
-    def _words(self, piece: str) -> list[str]:
-        if piece.isascii():
-            if piece.isalpha():
-                return [piece.lower()]
-            if piece[-1] in ".," and piece[:-1].isalpha():
-                return [piece[:-1].lower(), piece[-1]]
-        if _LATIN(piece):  # already composed letters: as the library does, without a call for each word
-            if piece.isascii():
-                return _ASCII_WORD.findall(piece.lower())
-            return [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in _LATIN_WORD.findall(piece.lower())]
-        return [w for w, _ in self.split(self.normal(piece))]
-
-    def _pieces(self, chunk: str) -> list:
-        """A chunk's pre-split words in order, special tokens as ids."""
-        if self._cut and "<|" in chunk:
-            return [w for p in self._cut.split(chunk) if p for w in ([self.special[p]] if p in self.special else self._words(p))]
-        return self._words(chunk)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers. What the memory lacks is worked out together."""
+    def _hard(self, chunk: str) -> bytes:
+        """Ids of a chunk as the library splits it, special tokens as they stand."""
+        words = []
+        for part in self._cut.split(chunk) if self._cut and "<|" in chunk else [chunk]:
+            words += [self.special[part]] if part in self.special else [w for w, _ in self.split(self.normal(part))] if part else []
+        ids = iter(self.automaton.encode_words([w for w in words if w.__class__ is str]))
+        return b"".join([next(ids) if w.__class__ is str else array("i", [w]).tobytes() for w in words])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case words. What the memory lacks is worked out together."""
         memory = self._memory
-        get = memory.get
-        split = [_CHUNK.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        found = [[get(c) for c in chunks] for chunks in split]
-        new = {c for chunks, parts in zip(split, found, strict=True) if None in parts for c, p in zip(chunks, parts, strict=True) if p is None}
+        found = list(map(memory.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
         if new:
-            pieces = {c: self._pieces(c) for c in new}
-            words = list({w for p in pieces.values() for w in p if w.__class__ is str})
-            ids = dict(zip(words, self.automaton.encode_words(words), strict=True))
-            fresh = {c: ids[p[0]] if len(p) == 1 and p[0].__class__ is str else b"".join([ids[w] if w.__class__ is str else array("i", [w]).tobytes() for w in p]) for c, p in pieces.items()}
-            found = [[fresh[c] if p is None else p for c, p in zip(chunks, parts, strict=True)] if None in parts else parts for chunks, parts in zip(split, found, strict=True)]
-            for c, x in fresh.items():
-                if len(memory) >= MEMORY:
-                    break
-                if len(c) <= 40:
-                    memory[c] = x
-        return [b"".join(parts) for parts in found]
-
-    def decode(self, ids) -> str:
-        """Labels of the ids' arcs, joined by one space."""
-        return " ".join(map(self.labels.__getitem__, ids))
+            plain = [w if (w := words[k]).isascii() else w.encode().decode("latin-1").translate(_BYTES) for k in new]
+            for k, x in zip(new, self.automaton.encode_words(plain), strict=True):
+                found[k] = x
+            for k in new[: MEMORY - len(memory)]:
+                if len(words[k]) <= 40:
+                    memory[words[k]] = found[k]
+        return found
+
+    def _chunks(self, chunks):
+        """Ids of distinct chunks without white space, as one flat array, and of each chunk the first and the number.
+
+        Printable ASCII without apostrophes and the letters of Latin-1 are lowered and split here, all chunks together:
+        runs of letters, single digits, runs of the rest. Other chunks are the library's to split.
+        """
+        data, at = texts_of(chunks)
+        lead = data == 0xC3
+        second = np.zeros(len(data), bool)
+        second[1:] = lead[:-1]
+        sign = second & ((data == 0x97) | (data == 0xB7))  # the two signs among the letters
+        mark = np.zeros(len(data), bool)
+        mark[:-1] = (data[:-1] == 60) & (data[1:] == 124)  # may be a special token
+        plain = ((data > 32) & (data < 127) & (data != 39) & ~mark) | lead | (second & ~sign)
+        size = np.diff(at)
+        hard = np.diff(np.concatenate([[0], np.cumsum(~plain)])[at]) > 0
+        keep = np.repeat(~hard, size)
+        low = data.copy()
+        low[((data >= 65) & (data <= 90)) | (second & (data < 0x9F))] += 32
+        low, kind = low[keep], np.where(lead | second | ((low >= 97) & (low <= 122)), 1, np.where((data >= 48) & (data <= 57), 2, 3))[keep]
+        starts = np.ones(len(low), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        first = np.cumsum(np.where(hard, 0, size)) - np.where(hard, 0, size)
+        starts[first[~hard]] = True
+        starts = np.flatnonzero(starts)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(low)).astype(np.int64)), pa.py_buffer(low)).dictionary_encode()
+        flat, ends = _picked(self._ids(words.dictionary.to_pylist()), words.indices.to_numpy())
+        begin = ends[np.searchsorted(starts, first)]
+        count = ends[np.searchsorted(starts, first + np.where(hard, 0, size))] - begin
+        rest = [self._hard(c) for c in chunks.filter(pa.array(hard)).to_pylist()]
+        count[hard] = [len(x) // 4 for x in rest]
+        begin[hard] = len(flat) + np.cumsum(count[hard]) - count[hard]
+        return np.concatenate([flat, np.frombuffer(b"".join(rest), "<i4")]), begin, count
+
+    def encode(self, texts):
+        """Ids of all texts of an Arrow string array, and where each text's ids begin (one entry more than texts).
+
+        Chunks between white space are worked out once for each distinct one; Arrow names their places.
+        """
+        data, at = texts_of(texts)
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        cut = at[:-1][at[1:] > at[:-1]]
+        begins[cut] = inside[cut]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+        solid = data[inside]
+        where = np.append((np.cumsum(inside) - 1)[starts], len(solid)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(solid)).dictionary_encode()
+        flat, first, count = self._chunks(coded.dictionary)
+        ids, ends = _gathered(flat, first, count, coded.indices.to_numpy())
+        return ids, ends[np.searchsorted(starts, at)]
+
+    def decode(self, ids, where) -> pa.Array:
+        """Texts of lists of ids (one flat array, and where each list begins): the arcs' labels joined by one space."""
+        labels = self._labels.take(pa.array(ids))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(where, pa.int32()), labels), " ")
 
 
 @lru_cache(maxsize=4)
@@ -310,15 +391,12 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         model = encoder(path)
         for batch in batches:
             column = batch.column(len(keep))
-            for first, last in slices(column, 6 << 20):
-                texts = column.slice(first, last - first).to_pylist()
-                ids = model.encode(texts)
-                where = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) // 4
-                flat = np.frombuffer(b"".join(ids), dtype="<i4")
+            for first, last in slices(column):
+                ids, where = model.encode(column.slice(first, last - first))
                 arrays = [batch.column(k).slice(first, last - first) for k in range(len(keep))]
-                arrays.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat)))
+                arrays.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids)))
                 if decode:
-                    arrays.append(pa.array([model.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string()))
+                    arrays.append(model.decode(ids, where))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", *["decoded"] * decode])
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text)).mapInArrow(run, schema)

@@ -1,14 +1,14 @@
 """Best-fit packing of tokenised documents into sequences of bounded length, improved by a swap-based local search.
 
 Documents are cut into pieces of at most `capacity` tokens (only longer ones are cut). Full pieces are sequences of
-their own. The others are dealt by a hash of their document into groups of bounded size; each group is packed by
+their own. The others are dealt by a hash of their row number into groups of bounded size; each group is packed by
 best-fit decreasing, and a local search then exchanges one for one, two for one, or moves pieces between underfull
 bins, taking a step only if it increases the sum of squared fills, until emptier bins run empty and none are left to
 improve. What is left in a group's underfull bins goes on to further rounds with fewer groups, so that bins are few in
 proportion to all rows and no task ever sees more than a group.
 
-Null texts count as empty; every document has at least one piece (its end mark). Document ids are taken to be unique; rows that repeat one are packed one by one, but
-their full pieces share sequence ids.
+Null texts count as empty; every document has at least one piece (its end mark). Rows that repeat an id, or have none or
+a negative one, are packed one by one like any others: groups and full pieces go by row numbers of the written pieces.
 """
 
 from bisect import bisect_left, insort
@@ -36,17 +36,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
 
     def run(batches):
         model = bpe.encoder(path)
-        end = np.array([END], "<i4").tobytes()
         for batch in batches:
-            for first, last in slices(batch.column(1), 6 << 20):
+            for first, last in slices(batch.column(1)):
                 keys = batch.column(0).slice(first, last - first).to_pylist()
-                coded = model.encode(batch.column(1).slice(first, last - first).to_pylist())
+                coded, where = model.encode(batch.column(1).slice(first, last - first))
+                raw = memoryview(np.insert(coded, where[1:], END).astype("<i4").tobytes())
+                where = where + np.arange(len(where))
                 rows, parts = [], []
-                for key, x in zip(keys, coded, strict=True):
-                    x += end
-                    for k, at in enumerate(range(0, len(x), 4 * capacity)):
-                        part = x[at : at + 4 * capacity]
-                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                for key, begin, stop in zip(keys, where[:-1].tolist(), where[1:].tolist(), strict=True):
+                    for k, at in enumerate(range(begin, stop, capacity)):
+                        part = raw[4 * at : 4 * min(stop, at + capacity)]
+                        rows.append((key, k, at - begin, len(part) // 4, zlib.crc32(part)))
                         if ids:
                             parts.append(part)
                 columns = list(zip(*rows, strict=True))
@@ -160,17 +160,19 @@ def pack(lengths, capacity: int = CAPACITY):
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """parts with sequence_id and offset. parts: doc_id, piece, length and others; its rows are read more than once.
+    """parts with sequence_id and offset. parts: doc_id, piece, length and others, as a written table: it is read more
+    than once, and its row numbers must not change.
 
-    A sequence's id is (round and group) * 2**32 + its number there; full pieces count as round 0.
+    A sequence's id is (round and group) * 2**32 + its number there; those of full pieces are negative. The rounds are a
+    bound of the search, not of the rows: bins filled to 97 % or more are final before the last one.
     """
     columns = parts.columns
     spark = parts.sparkSession
     scratch = Scratch(spark, "packing")
     full = parts.where(F.col("length") == capacity)
     loose = parts.where(F.col("length") < capacity)
-    # a full piece's id is its own: document and piece, in a range that the rounds do not use
-    done = [full.select(*columns, (-(F.col("doc_id") * F.lit(1 << 20) + F.col("piece")) - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    # a full piece's sequence is its own: its row number, below zero, where the rounds have no ids
+    done = [full.select(*columns, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     schema = ", ".join(f"`{c}` {parts.schema[c].dataType.simpleString()}" for c in columns) + ", sequence_id long, offset long, __open boolean"
 
     def deal(level, groups):
@@ -188,7 +190,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     for level in (1, 2, 3):
         count = rows.count()
         groups = max(1, -(-count // group))
-        keyed = rows.withColumn("__group", F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece"), F.lit(groups)))
+        keyed = rows.withColumn("__group", F.pmod(F.xxhash64(F.lit(level), F.monotonically_increasing_id()), F.lit(groups)))
         packed = scratch.put(keyed.groupBy("__group").applyInPandas(deal(level, groups), schema), f"round{level}")
         done.append(packed.where("not __open").drop("__open"))
         rows = packed.where("__open").select(*columns)
