@@ -391,7 +391,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         model = encoder(path)
         for batch in batches:
             column = batch.column(len(keep))
-            for first, last in slices(column):
+            for first, last in slices(column, 4 << 20):
                 ids, where = model.encode(column.slice(first, last - first))
                 arrays = [batch.column(k).slice(first, last - first) for k in range(len(keep))]
                 arrays.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids)))

@@ -46,7 +46,7 @@ def texts_of(column):
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(column, most=4 << 20):
+def slices(column, most=1 << 20):
     """Row ranges of an array whose texts have about `most` bytes together; a longer text stands alone."""
     n = len(column)
     if not n:

@@ -5,36 +5,41 @@ empty without words or text). Two documents link if 100 * |intersection| >= 80 *
 
 Equal sets are one representative. Shingles are ordered by their 64-bit hashes, and each set shows only the head of
 this order. Linked sets differ in at most e = n - ceil(0.8 n) of a set's n members, so a head in which e + 1 members
-would have to be missing must meet a partner's head. Shingles shown by at most RARE sets are indexed one by one.
-Frequent ones are split into classes by hash and indexed as combinations of two of one class: a class of c members
-stands for c - 1 missing ones, so a head is extended by one member for each class that it touches. A set whose head
-has e + 1 rare members needs no combinations of its own and only offers them to those that do. The number of classes
-follows the set's size; sizes that differ by a quarter at most share a size class or lie in neighbouring ones, and
-combinations are made for both.
-
-Candidates from rare members come with their number of common members, and an upper bound of the overlap drops most of
-the others; what is left is verified on the whole sets. For components not every link is needed: the first rounds
-verify each set's best candidates, and for combinations its neighbours in orders that change with the round; the last
-round verifies all candidates whose sets are still in different components. So large groups of near copies cost in proportion
-to their members, and no link between different components is missed.
-
-Null and empty texts have no shingles and are components of their own; repeated rows share one; other columns are not
-read. Hashes have 64 bits: two of m different shingles share one with probability m * m / 2**65.
+would have to be missing must meet a partner's head. For components not every link is needed: first, in a few turns,
+each set is held against one other of its best partners among those that stand first or last for a shingle of its head
+and are in another component; large groups of near copies become one component at a cost in proportion to them. Then
+all is done that is left: shingles shown in two components at least are indexed, those of at most RARE components one
+by one. Frequent ones are split into classes by hash and indexed as combinations of two of one class: a class of c
+members stands for c - 1 missing ones, so a head is extended by one member for each class that it touches. A set whose
+head has e + 1 rare members needs no combinations of its own and only offers them to those that do. The number of
+classes follows the set's size; sizes that differ by a quarter at most share a size class or lie in neighbouring ones,
+and combinations are made for both.
+
+Sets of one entry of the index are joined if they are in different components, if their sizes allow a link and if the
+places of a rare member leave room for it; the sets of an entry's largest component meet only the others. Each pair
+found passes if BITS parity bits (which differ in no more places than the sets do) allow a link, and is verified on the
+whole texts: a text travels to each of its partners once, and a partner of many is copied to parts of PART texts.
+
+Null and empty texts have no shingles and are components of their own; rows without an id have no component and link
+with nothing; rows that repeat an id are one document: all of them are in one component. Other columns are not read.
+Hashes have 64 bits: two of m different shingles share one with probability m * m / 2**65.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytehash import mix, shingles_of, slices
 from .components import components
 from .tables import Scratch
 
-RARE = 16  # sets that may show a shingle which is indexed alone
-TURNS = 4  # rounds that verify neighbours before all that is left is verified
-SMALL = 2_000_000  # ids that are broadcast at most (16 MB); more are joined by a shuffle
+RARE = 16  # components that may show a shingle which is indexed alone
+TURNS = 3  # turns that verify one partner of each set before all that is left is verified
+KEYS = 6  # shingles of a head that a turn looks at
+PART = 500  # texts that a copy of their partner is made for
+SMALL = 2_000_000  # rows of a few numbers that are broadcast at most (64 MB); more are joined by a shuffle
+BITS = 512
 _SIZES = np.unique(np.ceil(1.25 ** np.arange(0, 120)).astype(np.float64))
 
 
@@ -58,8 +63,18 @@ def _signed(x):
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def _parity(grams, at):
+    """BITS bits of each set, as rows of 64-bit integers; each member turns one of them."""
+    out = np.zeros((len(at) - 1, BITS // 64), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    word, bit = (grams >> np.uint64(8)) % np.uint64(BITS // 64), np.uint64(1) << ((grams >> np.uint64(16)) & np.uint64(63))
+    for k in range(BITS // 64 if len(some) else 0):
+        out[some, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at[some])
+    return out.view(np.int64)
+
+
 def _heads(batches):
-    """doc_id, n, s1, s2 (two hashes of the whole set) and the head of the set."""
+    """doc, n, s1, s2 (two hashes of the whole set), its parity bits and the head of the set."""
     for batch in batches:
         for first, last in slices(batch.column(1)):
             grams, at = shingles_of(batch.column(1).slice(first, last - first))
@@ -72,92 +87,98 @@ def _heads(batches):
             where = np.concatenate([[0], np.cumsum(size)])
             take = np.arange(where[-1]) - np.repeat(where[:-1], size) + np.repeat(at[:-1], size)
             head = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(_signed(grams[take])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), head], names=["doc_id", "n", "s1", "s2", "head"])
-
-
-def _sets(batches):
-    for batch in batches:
-        for first, last in slices(batch.column(1)):
-            grams, at = shingles_of(batch.column(1).slice(first, last - first))
-            raw = grams.tobytes()
-            cut = (8 * at).tolist()
-            values = pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), values], names=["doc", "members"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (BITS // 64), pa.int32()), pa.array(_parity(grams, at).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bits, head], names=["doc", "n", "s1", "s2", "bits", "head"])
 
 
 def _signatures(batches):
-    """From each set's shown shingles that others show too: its signatures.
+    """From the indexed shingles of each set's head (place, token, often): its entries in the index.
 
-    kind 0: a rare shingle; 1: a combination of a set that needs combinations; 2: one that is only offered. With each
-    row the set's size, and the length, the frequent members and the end of its head.
+    kind 0: a rare shingle, with its place and the rare one at the place before; 1: a combination of a set that needs
+    combinations; 2: one that is only offered.
     """
-    names = ["sig", "kind", "doc", "n", "p", "f", "tau"]
+    names = ["sig", "kind", "doc", "root", "n", "pos", "prev"]
     for batch in batches:
+        doc, root, n = (batch.column(k).to_numpy() for k in range(3))
+        shown = batch.column(3)
+        own = np.repeat(np.arange(len(doc)), np.diff(shown.offsets.to_numpy()))
+        fields = shown.flatten()
+        pos, token, often = fields.field("pos").to_numpy(), fields.field("token").to_numpy(), fields.field("often").to_numpy(zero_copy_only=False)
+        order = np.lexsort((pos, own))
+        own, pos, token, often = own[order], pos[order].astype(np.int64), token[order], often[order]
+        need, base = _missing(n) + 1, _size_class(n)
+        size = np.minimum(n, need + _classes(base + 1))
+        enough = size - np.bincount(own[often], minlength=len(doc)) >= need
+
+        def ends(f):
+            """Ends of heads that the places f (sorted by set and place) make one longer each."""
+            o = own[f]
+            rank = np.arange(len(f)) - np.searchsorted(o, o)
+            inside = pos[f] < need[o] + rank
+            return np.minimum(size, need + np.bincount(o[inside], minlength=len(doc)))
+
         out = {c: [] for c in names}
-        for row in batch.to_pylist():
-            n, shown = row["n"], sorted(row["shown"], key=lambda s: s["pos"])
-            need = int(_missing(np.int64(n))) + 1
-            pos = np.array([s["pos"] for s in shown], np.int64)
-            token = np.array([s["token"] for s in shown], np.int64)
-            often = np.array([s["often"] for s in shown], bool)
-            base = int(_size_class(np.int64(n)))
-            size = min(n, need + int(_classes(base + 1)))
-            fpos, ftok = pos[often], token[often]
-            rare = size - len(fpos)
-            heads = []
-            for b in (base, base + 1):
-                if rare >= need:  # the head ends at its (e + 1)-th rare member
-                    lost = np.zeros(size, np.int64)
-                    lost[fpos] = 1
-                    group = mix(ftok.view(np.uint64) + np.uint64(b)) % np.uint64(_classes(b))
-                else:
-                    group = mix(ftok.view(np.uint64) + np.uint64(b)) % np.uint64(_classes(b))
-                    _, first = np.unique(group, return_index=True)
-                    lost = np.zeros(size, np.int64)
-                    lost[fpos[first]] = 1
-                killed = np.cumsum(1 - lost)
-                end = int(np.searchsorted(killed, need)) + 1
-                heads.append((b, min(end, size), group))
-            p = max(end for _, end, _ in heads)
-            f = int((fpos < p).sum())
-            tau = row["head_ends"][p - 1]
-            sigs, kinds = [token[~often & (pos < p)]], [np.zeros(int((~often & (pos < p)).sum()), np.int32)]
-            for b, end, group in heads:
-                inside = fpos < end
-                g, t = group[inside], ftok[inside]
-                order = np.lexsort((t, g))
-                g, t = g[order], t[order]
-                for step in range(1, len(g)):
-                    same = g[step:] == g[:-step]
-                    if not same.any():
-                        break
-                    left, right = t[:-step][same].view(np.uint64), t[step:][same].view(np.uint64)
-                    sigs.append(mix(mix(left + np.uint64(b)) ^ right).view(np.int64))
-                    kinds.append(np.full(len(left), 2 if rare >= need else 1, np.int32))
-            sig, kind = np.concatenate(sigs), np.concatenate(kinds)
-            k = len(sig)
-            for c, v in zip(names, (sig, kind, np.full(k, row["doc"]), np.full(k, n), np.full(k, p), np.full(k, f), np.full(k, tau)), strict=True):
-                out[c].append(v)
-        if out["sig"]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[c])) for c in names], names=names)
 
+        def add(sig, kind, o, place, before):
+            for c, v in zip(names, (sig, kind, doc[o], root[o], n[o], place, before), strict=True):
+                out[c].append(v)
 
-def _verify(batches):
-    """Pairs with both sets -> the linked pairs."""
+        freq = np.flatnonzero(often)
+        whole, longest = ends(freq), np.zeros(len(doc), np.int64)
+        for b in (base, base + 1):
+            group = (mix(token[freq].view(np.uint64) + b[own[freq]].astype(np.uint64)) % _classes(b)[own[freq]].astype(np.uint64)).astype(np.int64)
+            by_class = np.lexsort((pos[freq], group, own[freq]))
+            first = np.ones(len(freq), bool)
+            first[1:] = (np.diff(own[freq][by_class]) != 0) | (np.diff(group[by_class]) != 0)
+            end = np.where(enough, whole, ends(np.sort(freq[by_class[first]])))
+            longest = np.maximum(longest, end)
+            inside = np.flatnonzero(pos[freq] < end[own[freq]])
+            o, g, t = own[freq][inside], group[inside], token[freq][inside]
+            order = np.lexsort((t, g, o))
+            o, g, t = o[order], g[order], t[order]
+            for step in range(1, len(o)):
+                same = (g[step:] == g[:-step]) & (o[step:] == o[:-step])
+                if not same.any():
+                    break
+                left, right, mine = t[:-step][same].view(np.uint64), t[step:][same].view(np.uint64), o[step:][same]
+                none = np.zeros(len(mine), np.int64)
+                add(mix(mix(left + b[mine].astype(np.uint64)) ^ right).view(np.int64), np.where(enough[mine], 2, 1), mine, none, none)
+        alone = np.flatnonzero(~often & (pos < longest[own]))
+        before = np.zeros(len(alone), np.int64)  # 0: none
+        near = (np.diff(own[alone]) == 0) & (np.diff(pos[alone]) == 1)
+        before[1:][near] = token[alone][:-1][near]
+        add(token[alone], np.zeros(len(alone), np.int64), own[alone], pos[alone], before)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[c])) for c in names], names=names)
+
+
+def _compare(batches):
+    """Rows sorted by b, part and later; the text of b comes first, then those of its partners -> the linked pairs."""
+    key, sets = None, []
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        keep = np.zeros(len(batch), bool)
-        for k in range(len(batch)):
-            x, y = np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep[k] = 100 * common >= 80 * (len(x) + len(y) - common)
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        for first, last in slices(batch.column(4), 1 << 20):
+            part = batch.slice(first, last - first)
+            grams, at = shingles_of(part.column(4))
+            b, salt, later, doc = (part.column(k).to_pylist() for k in range(4))
+            found = []
+            for k in range(len(b)):
+                own = grams[at[k] : at[k + 1]]
+                if (b[k], salt[k]) != key:
+                    key, sets = (b[k], salt[k]), []
+                if not later[k]:
+                    sets.append(own.copy())
+                    continue
+                for other in sets:
+                    place = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                    common = int((other[place] == own).sum())
+                    if 100 * common >= 80 * (len(own) + len(other) - common):
+                        found.append((doc[k], b[k]))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """Ids for a semi join: broadcast if they are proven to be few."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
+def _few(df: DataFrame) -> DataFrame:
+    """A table for a join: broadcast if it is proven to be small. It is read twice."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _near(n, m):
@@ -165,104 +186,116 @@ def _near(n, m):
     return (5 * n >= 4 * m) & (5 * m >= 4 * n)
 
 
+def _apart(x, y):
+    """Parity bits in which two sets differ: at most the members in which they do."""
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+
+
+class _Join:
+    """The state of one join: the written sets, and each representative's component so far."""
+
+    def __init__(self, docs: DataFrame):
+        self.scratch = Scratch(docs.sparkSession, "jaccard")
+        self.plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+        self.base = self.scratch.put(self.plain.mapInArrow(_heads, "doc long, n long, s1 long, s2 long, bits array<long>, head array<long>"), "base")
+        real = self.base.where("n > 0 and doc is not null").select("doc", "n", "s1", "s2")
+        many = self.scratch.put(real.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "many")
+        copies = real.join(_few(many), ["s1", "s2"]).where("doc <> rep").select("doc", "s1", "s2", "rep").distinct()
+        self.copies = _few(self.scratch.put(copies, "copies"))
+        self.heads = self.base.where("n > 0 and doc is not null").join(self.copies, ["doc", "s1", "s2"], "left_anti").select("doc", "n", "bits", "head")
+        self.named = self.scratch.put(self.heads.select("doc", F.col("doc").alias("root")).distinct(), "named")
+        # rows that repeat an id with other words: what their copies stand for is one document
+        twice = real.groupBy("doc").agg(F.countDistinct("s1", "s2").alias("k")).where("k > 1").select("doc")
+        self.merge(self.copies.join(twice, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b")), "same")
+
+    def merge(self, links: DataFrame, name: str) -> bool:
+        """Joins the components of linked sets; False if there are none. links: a, b."""
+        roots = self.named
+        ends = [_few(roots.select(F.col("doc").alias(c), F.col("root").alias(f"root_{c}"))) for c in ("a", "b")]
+        between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        between = self.scratch.put(between.where("a <> b").distinct(), f"links-{name}")
+        if between.isEmpty():
+            return False
+        joined = components(between, self.scratch, f"roots-{name}").where("node <> root").withColumnRenamed("root", "low")
+        joined = self.scratch.put(joined, f"joined-{name}")
+        named = roots.join(_few(joined), F.col("root") == F.col("node"), "left").select("doc", F.coalesce("low", "root").alias("root"))
+        self.named = self.scratch.put(named, f"named-{name}")
+        return True
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """a, b, apart of the pairs (a, b) that their sizes and parity bits allow to be linked."""
+        for c in ("a", "b"):
+            pairs = pairs.join(self.heads.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")), c)
+        apart = _apart(F.col("bitsa"), F.col("bitsb")).alias("apart")
+        return pairs.select("a", "b", "na", "nb", apart).where(_near(F.col("na"), F.col("nb")) & (9 * F.col("apart") <= F.col("na") + F.col("nb"))).select("a", "b", "apart")
+
+    def linked(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose texts are linked. Each text of an a goes to its b, in parts of about PART texts."""
+        pairs = self.scratch.put(pairs.select("a", "b"), f"pairs-{name}")
+        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        parts = self.scratch.put(parts.where("parts > 1"), f"parts-{name}")
+        dealt = pairs.join(_few(parts), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
+        wants = dealt.select(F.col("a").alias("doc"), "b", "part", F.lit(True).alias("later")).union(dealt.select("b", "b", "part", F.lit(False)).distinct())
+        wants = self.scratch.put(wants, f"wants-{name}")
+        sent = self.plain.join(_few(wants), "doc").select("b", "part", "later", "doc", "text")
+        return sent.repartition("b", "part").sortWithinPartitions("b", "part", "later").mapInArrow(_compare, "a long, b long")
+
+    def turn(self, k: int) -> bool:
+        """Holds each set against the likeliest of a few sets of other components; False if nothing was joined."""
+        keys = self.heads.select("doc", F.explode(F.slice("head", 1 + KEYS * k, KEYS)).alias("token"))
+        keys = self.scratch.put(keys.join(_few(self.named), "doc"), f"keys{k}")
+        ends = keys.groupBy("token").agg(F.min(F.struct("root", "doc")).alias("lo"), F.max(F.struct("root", "doc")).alias("hi")).where("lo.root <> hi.root")
+        ends = self.scratch.put(ends, f"ends{k}")
+        other = F.when(F.col("root") == F.col("lo.root"), F.col("hi.doc")).otherwise(F.col("lo.doc"))
+        pairs = keys.join(_few(ends), "token").select(F.col("doc").alias("a"), other.alias("b")).distinct()
+        best = self.likely(pairs).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        done = self.merge(self.linked(best, f"turn{k}"), f"turn{k}")
+        self.scratch.drop(f"keys{k}", f"ends{k}", f"wants-turn{k}", f"pairs-turn{k}")
+        return done
+
+    def rest(self) -> None:
+        """Links all sets of different components that are similar."""
+        shown = self.heads.join(_few(self.named), "doc").select("doc", "root", "n", F.posexplode("head").alias("pos", "token"))
+        across = shown.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+        across = self.scratch.put(across, "across")
+        kept = self.scratch.put(shown.join(_few(across), "token"), "kept")
+        roots = kept.select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("k"))
+        frequent = self.scratch.put(roots.where(F.col("k") > RARE).select("token", F.lit(True).alias("often")), "frequent")
+        marked = kept.join(_few(frequent), "token", "left").select("doc", "root", "n", F.struct("pos", "token", F.coalesce("often", F.lit(False)).alias("often")).alias("one"))
+        by_set = marked.groupBy("doc", "root", "n").agg(F.collect_list("one").alias("shown"))  # of one head at most
+        rows = self.scratch.put(by_set.mapInArrow(_signatures, "sig long, kind long, doc long, root long, n long, pos long, prev long"), "rows")
+        self.scratch.drop("kept", "across")
+        # an entry's largest component, where it has two at least and they may be joined by it
+        per = rows.groupBy("sig", "root").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
+        most = per.groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"), F.min("kind").alias("kind")).where("roots > 1 and kind < 2")
+        most = self.scratch.put(most.select("sig", F.col("most.root").alias("largest")), "most")
+        flagged = self.scratch.put(rows.join(most, "sig").withColumn("big", F.col("root") == F.col("largest")).drop("largest"), "flagged")
+        x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+        room = F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1
+        alone = (x("kind") == 0) & (y("kind") == 0) & (9 * room >= 4 * (x("n") + y("n"))) & ((x("prev") != y("prev")) | (x("prev") == 0))
+        mixed = (x("kind") > 0) & (y("kind") > 0) & ((x("kind") == 1) | (y("kind") == 1))
+        once = (x("root") != y("root")) & (x("big") | (x("doc") < y("doc"))) & _near(x("n"), y("n"))
+        pairs = flagged.alias("x").join(flagged.where("not big").alias("y"), (x("sig") == y("sig")) & once & (alone | mixed))
+        pairs = self.scratch.put(pairs.select(F.least(x("doc"), y("doc")).alias("a"), F.greatest(x("doc"), y("doc")).alias("b")).distinct(), "found")
+        self.scratch.drop("rows", "flagged", "most")
+        self.merge(self.linked(self.likely(pairs), "rest"), "rest")
+
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every row."""
+        rep = F.coalesce("rep", "doc")
+        rows = self.base.select("doc", "n", "s1", "s2").join(self.copies, ["doc", "s1", "s2"], "left").select("doc", "n", rep.alias("rep"))
+        found = rows.join(_few(self.scratch.put(self.named.where("doc <> root").toDF("rep", "root"), "moved")), "rep", "left")
+        return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = scratch.put(plain.mapInArrow(_heads, "doc_id long, n long, s1 long, s2 long, head array<long>"), "base")
-    alike = base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.min_by("head", "doc_id").alias("head"))
-    heads = scratch.put(alike, "heads")
-    members = scratch.put(base.where("n > 0").select("doc_id", "n", "s1", "s2").join(heads.select("s1", "s2", F.col("doc").alias("rep")), ["s1", "s2"]).select("doc_id", "n", "rep"), "members")
-    alone = base.where("n = 0").select("doc_id", "n")
-    alone = scratch.put(alone, "alone")
-    scratch.drop("base")
-
-    # shingles that two sets show at least, and whether they are frequent
-    shown = heads.select("doc", F.posexplode("head").alias("pos", "token"))
-    counted = shown.withColumn("sets", F.count("*").over(W.partitionBy("token"))).where("sets > 1")
-    by_doc = counted.groupBy("doc").agg(F.collect_list(F.struct("pos", "token", (F.col("sets") > RARE).alias("often"))).alias("shown"))
-    joined = by_doc.join(heads.select("doc", "n", F.col("head").alias("head_ends")), "doc").select("doc", "n", "shown", "head_ends")
-    sigs = scratch.put(joined.mapInArrow(_signatures, "sig long, kind int, doc long, n long, p long, f long, tau long"), "sigs")
-
-    # rare members: groups of at most RARE sets, all pairs with their number of common rare members
-    rare = sigs.where("kind = 0")
-    one, two = rare.alias("x"), rare.alias("y")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    pairs = one.join(two, (x("sig") == y("sig")) & (x("doc") < y("doc")) & _near(x("n"), y("n")))
-    pairs = pairs.groupBy(x("doc").alias("a"), y("doc").alias("b")).agg(
-        F.count("*").alias("common"), *[F.first(g(c)).alias(f"{c}{s}") for g, s in ((x, "a"), (y, "b")) for c in ("n", "p", "f", "tau")]
-    )
-    first = F.col("taua") <= F.col("taub")
-    most = F.col("common") + F.when(first, F.col("fa") + F.col("na") - F.col("pa")).otherwise(F.col("fb") + F.col("nb") - F.col("pb"))
-    likely = scratch.put(pairs.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "common"), "likely")
-
-    # combinations that a set in need of them shares with another
-    mixed = sigs.where("kind > 0").select("sig", "kind", "doc", "n")
-    held = mixed.groupBy("sig").agg(F.count("*").alias("sets"), F.min("kind").alias("least")).where("sets > 1 and least = 1").select("sig")
-    combos = scratch.put(mixed.join(held, "sig", "left_semi"), "combos")
-    active = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(combos.select("doc")).distinct()
-    active = scratch.put(active, "active")
-    sets = scratch.put(plain.join(_few(active), "doc_id", "left_semi").mapInArrow(_sets, "doc long, members binary"), "sets")
-
-    def verified(wanted):
-        with_a = wanted.join(sets.select(F.col("doc").alias("a"), F.col("members").alias("left")), "a")
-        with_b = with_a.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("right")), "b")
-        return with_b.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
-
-    def best(found):
-        """Each set's three candidates with most in common."""
-        ends = found.select("a", "b", "common", F.explode(F.array("a", "b")).alias("doc"))
-        rank = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("common"), "a", "b"))
-        return ends.withColumn("rank", rank).where("rank <= 3").select("a", "b").distinct()
-
-    def beside(rooted, turn):
-        """Neighbours in an order of each combination's sets that changes with the turn, of different components."""
-        order = W.partitionBy("sig").orderBy(F.xxhash64("doc", F.lit(turn)), "doc")
-        near = [rooted.select("doc", "n", "root", "kind", *[F.lag(c, step).over(order).alias(f"{c}2") for c in ("doc", "n", "root", "kind")]) for step in (1, 2)]
-        near = near[0].union(near[1]).where(F.col("doc2").isNotNull() & _near(F.col("n"), F.col("n2")) & (F.col("root") != F.col("root2")) & ((F.col("kind") == 1) | (F.col("kind2") == 1)))
-        return near.groupBy(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).agg(F.count("*").alias("common"))
-
-    def split(roots):
-        """Combination rows with their sets' components, where a combination still has several."""
-        rows = combos.withColumn("root", F.col("doc")) if roots is None else combos.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        several = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("kind").alias("least")).where("low < high and least = 1").select("sig")
-        return rows.join(several, "sig", "left_semi")
-
-    tried = links = roots = None
-    for turn in range(TURNS):
-        rooted = scratch.put(split(roots), f"rooted{turn}")
-        wanted = best(beside(rooted, turn))
-        if turn == 0:
-            wanted = wanted.union(best(likely)).distinct()
-        else:
-            wanted = wanted.join(tried, ["a", "b"], "left_anti")
-        wanted = scratch.put(wanted, f"wanted{turn}")
-        tried = wanted if tried is None else scratch.put(tried.union(wanted), f"tried{turn}")
-        new = verified(wanted)
-        links = scratch.put(new if links is None else links.union(new), f"links{turn}")
-        roots = components(links, scratch, f"roots{turn}")
-        scratch.drop(f"rooted{turn}")
-
-    # what is left: candidates whose sets are in different components
-    def apart(found):
-        for side in ("a", "b"):
-            found = found.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        return found.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    rooted = scratch.put(split(roots), "rooted")
-    one, two = rooted.alias("x"), rooted.alias("y")
-    cross = one.join(two, (x("sig") == y("sig")) & (x("doc") < y("doc")) & (x("root") != y("root")) & _near(x("n"), y("n")) & ((x("kind") == 1) | (y("kind") == 1)))
-    cross = cross.select(x("doc").alias("a"), y("doc").alias("b"))
-    left = scratch.put(apart(likely).union(cross).distinct().join(tried, ["a", "b"], "left_anti"), "left")
-    more = scratch.put(links.union(verified(left)), "links")
-    roots = components(more, scratch, "roots")
-    scratch.drop("sets", "sigs", "combos", "rooted", "likely", "heads", "active", "left", "links", *[f"{x}{t}" for x in ("wanted", "tried", "links") for t in range(TURNS)])
-
-    named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    # a representative is the smallest id of its set, and a root the smallest of its component
-    found = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
-    return found.union(alone.select("doc_id", "n", "doc_id"))
+    join = _Join(docs)
+    for k in range(TURNS):
+        if not join.turn(k):
+            break
+    join.rest()
+    return join.result()
 
 
 def one_each(docs: DataFrame) -> DataFrame:
