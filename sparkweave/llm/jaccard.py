@@ -15,10 +15,10 @@ head has e + 1 rare members needs no combinations of its own and only offers the
 classes follows the set's size; sizes that differ by a quarter at most share a size class or lie in neighbouring ones,
 and combinations are made for both.
 
-Sets of one entry of the index are joined if they are in different components, if their sizes allow a link and if the
-places of a rare member leave room for it; the sets of an entry's largest component meet only the others. Each pair
-found passes if BITS parity bits (which differ in no more places than the sets do) allow a link, and is verified on the
-whole texts: a text travels to each of its partners once, and a partner of many is copied to parts of PART texts.
+Sets of one entry of the index are joined if they are in different components, if their sizes and BITS parity bits
+(which differ in no more places than the sets do) allow a link and if the places of a rare member leave room for it; the
+sets of an entry's largest component meet only the others. Each pair found is verified on the whole texts: a text
+travels to each of its partners once, and a partner of many is copied to parts of PART texts.
 
 Null and empty texts have no shingles and are components of their own; rows without an id have no component and link
 with nothing; rows that repeat an id are one document: all of them are in one component. Other columns are not read.
@@ -37,8 +37,8 @@ from .tables import Scratch
 RARE = 16  # components that may show a shingle which is indexed alone
 TURNS = 3  # turns that verify one partner of each set before all that is left is verified
 KEYS = 6  # shingles of a head that a turn looks at
-PART = 500  # texts that a copy of their partner is made for
-SMALL = 2_000_000  # rows of a few numbers that are broadcast at most (64 MB); more are joined by a shuffle
+PART = 100  # texts that a copy of their partner is made for
+SMALL = 1_000_000  # rows of a few numbers that are broadcast at most (32 MB); more are joined by a shuffle
 BITS = 512
 _SIZES = np.unique(np.ceil(1.25 ** np.arange(0, 120)).astype(np.float64))
 
@@ -92,15 +92,16 @@ def _heads(batches):
 
 
 def _signatures(batches):
-    """From the indexed shingles of each set's head (place, token, often): its entries in the index.
+    """From the indexed shingles of each set's head (place, token, often): its entries in the index, with parity bits.
 
     kind 0: a rare shingle, with its place and the rare one at the place before; 1: a combination of a set that needs
     combinations; 2: one that is only offered.
     """
     names = ["sig", "kind", "doc", "root", "n", "pos", "prev"]
+    words = BITS // 64
     for batch in batches:
         doc, root, n = (batch.column(k).to_numpy() for k in range(3))
-        shown = batch.column(3)
+        shown, bits = batch.column(3), batch.column(4).flatten().to_numpy().reshape(-1, words)
         own = np.repeat(np.arange(len(doc)), np.diff(shown.offsets.to_numpy()))
         fields = shown.flatten()
         pos, token, often = fields.field("pos").to_numpy(), fields.field("token").to_numpy(), fields.field("often").to_numpy(zero_copy_only=False)
@@ -117,11 +118,12 @@ def _signatures(batches):
             inside = pos[f] < need[o] + rank
             return np.minimum(size, need + np.bincount(o[inside], minlength=len(doc)))
 
-        out = {c: [] for c in names}
+        out, owners = {c: [] for c in names}, []
 
         def add(sig, kind, o, place, before):
             for c, v in zip(names, (sig, kind, doc[o], root[o], n[o], place, before), strict=True):
                 out[c].append(v)
+            owners.append(o)
 
         freq = np.flatnonzero(often)
         whole, longest = ends(freq), np.zeros(len(doc), np.int64)
@@ -148,7 +150,9 @@ def _signatures(batches):
         near = (np.diff(own[alone]) == 0) & (np.diff(pos[alone]) == 1)
         before[1:][near] = token[alone][:-1][near]
         add(token[alone], np.zeros(len(alone), np.int64), own[alone], pos[alone], before)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[c])) for c in names], names=names)
+        mine = bits[np.concatenate(owners)]
+        arrays = [pa.array(np.concatenate(out[c])) for c in names] + [pa.array(np.ascontiguousarray(mine[:, k])) for k in range(words)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f"b{k}" for k in range(words))])
 
 
 def _compare(batches):
@@ -263,22 +267,31 @@ class _Join:
         frequent = self.scratch.put(roots.where(F.col("k") > RARE).select("token", F.lit(True).alias("often")), "frequent")
         marked = kept.join(_few(frequent), "token", "left").select("doc", "root", "n", F.struct("pos", "token", F.coalesce("often", F.lit(False)).alias("often")).alias("one"))
         by_set = marked.groupBy("doc", "root", "n").agg(F.collect_list("one").alias("shown"))  # of one head at most
-        rows = self.scratch.put(by_set.mapInArrow(_signatures, "sig long, kind long, doc long, root long, n long, pos long, prev long"), "rows")
+        by_set = by_set.join(self.heads.select("doc", "bits"), "doc").select("doc", "root", "n", "shown", "bits")
+        words = [f"b{k}" for k in range(BITS // 64)]
+        rows = by_set.mapInArrow(_signatures, "sig long, kind long, doc long, root long, n long, pos long, prev long, " + ", ".join(f"{w} long" for w in words))
+        rows = self.scratch.put(rows, "rows")
         self.scratch.drop("kept", "across")
         # an entry's largest component, where it has two at least and they may be joined by it
         per = rows.groupBy("sig", "root").agg(F.count("*").alias("k"), F.min("kind").alias("kind"))
         most = per.groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"), F.min("kind").alias("kind")).where("roots > 1 and kind < 2")
         most = self.scratch.put(most.select("sig", F.col("most.root").alias("largest")), "most")
-        flagged = self.scratch.put(rows.join(most, "sig").withColumn("big", F.col("root") == F.col("largest")).drop("largest"), "flagged")
+        packed = (F.shiftleft(F.shiftleft("n", 31) + F.col("pos"), 2) + F.col("kind")).alias("meta")
+        flagged = rows.join(_few(most), "sig").select("sig", "doc", "root", packed, "prev", (F.col("root") == F.col("largest")).alias("big"), *words)
+        flagged = self.scratch.put(flagged, "flagged")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-        room = F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1
-        alone = (x("kind") == 0) & (y("kind") == 0) & (9 * room >= 4 * (x("n") + y("n"))) & ((x("prev") != y("prev")) | (x("prev") == 0))
-        mixed = (x("kind") > 0) & (y("kind") > 0) & ((x("kind") == 1) | (y("kind") == 1))
-        once = (x("root") != y("root")) & (x("big") | (x("doc") < y("doc"))) & _near(x("n"), y("n"))
+        kind, place = (lambda z: z("meta").bitwiseAND(F.lit(3))), (lambda z: F.shiftrightunsigned(z("meta"), 2).bitwiseAND(F.lit((1 << 31) - 1)))
+        n, m = F.shiftrightunsigned(x("meta"), 33), F.shiftrightunsigned(y("meta"), 33)
+        room = F.least(place(x), place(y)) + F.least(n - place(x), m - place(y))
+        # a pair with the same member before this one has been found by that
+        alone = (kind(x) == 0) & (kind(y) == 0) & (9 * room >= 4 * (n + m)) & ((x("prev") != y("prev")) | (x("prev") == 0))
+        mixed = (kind(x) > 0) & (kind(y) > 0) & ((kind(x) == 1) | (kind(y) == 1))
+        apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words), F.lit(0))
+        once = (x("root") != y("root")) & (x("big") | (x("doc") < y("doc"))) & _near(n, m) & (9 * apart <= n + m)
         pairs = flagged.alias("x").join(flagged.where("not big").alias("y"), (x("sig") == y("sig")) & once & (alone | mixed))
         pairs = self.scratch.put(pairs.select(F.least(x("doc"), y("doc")).alias("a"), F.greatest(x("doc"), y("doc")).alias("b")).distinct(), "found")
         self.scratch.drop("rows", "flagged", "most")
-        self.merge(self.linked(self.likely(pairs), "rest"), "rest")
+        self.merge(self.linked(pairs, "rest"), "rest")
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""

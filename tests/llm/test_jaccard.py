@@ -43,5 +43,12 @@ def test_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_repeated_and_missing_ids(spark):
+    a, b, c = ("a b c d e f g h i j k l m n o p q r s t", "one two three four five six seven", "something else that stands here alone")
+    rows = [(5, a), (5, b), (3, b), (7, a), (7, a), (9, c), (None, a), (None, c), (-2, c), (11, None)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(False, 5, 16, 3), (False, 5, 3, 3), (False, 3, 3, 3), (False, 7, 16, 3), (False, 7, 16, 3), (False, 9, 2, -2), (False, -2, 2, -2), (True, 0, 16, None), (True, 0, 2, None), (False, 11, 0, 11)])
+
+
 def test_empty(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
