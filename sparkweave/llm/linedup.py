@@ -10,17 +10,18 @@ are ordered by rarity: the counts of all words, added up in SLOTS cells by hash,
 levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n
 words shows the first n - ceil(0.8 n) + 1 of this order. Similar sets show a common word (prefix filter), neither has
 over 5/4 of the other's words (length filter), and the places of the common word leave room for enough common words
-before and after it (position filter). Each shown word travels with 128 parity bits of its whole set: bits in which
-two sets differ are at most the words in which they differ, which drops almost all other pairs inside the join. What
-passes is verified on the whole sets.
-
-Pairs are made in two rounds. In the first a set meets, for each word that it shows, the earliest set that shows it and
-the one before itself. Sets that this beats need no second round, though they still beat others; so a large group of
-near copies costs in proportion to its members. In the second round all others meet all earlier sets. Sets of up to
-three words match equal ones only.
-
-Words and sets are compared by 64-bit hashes. Null texts stay null, empty ones empty; rows without an id are left alone
-and beat none; of rows that repeat an id and a text the lines are removed alike; other columns pass through unchanged.
+before and after it (position filter). Each shown word travels with 64 parity bits of its whole set: bits in which
+two sets differ are at most the words in which they differ, which drops almost all other pairs inside the join. Sets
+that show the same two words in a row meet at the first of them only. What passes is verified on the whole sets.
+
+Pairs are made in two rounds. In the first a set meets, for each of the FEW rarest words that it shows, the earliest set
+that has it among them and the one before itself. Sets that this beats need no second round, though they still beat
+others; so a large group of near copies costs in proportion to its members. In the second round all others meet all
+earlier sets. Sets of up to three words match equal ones only.
+
+Words are compared by their levels and 55 bits of their hashes, equal sets by 64-bit hashes of these. Null texts stay
+null, empty ones empty; rows without an id are left alone and beat none; what is removed for one of several rows with an
+id is removed, by its line number, from all of them; other columns pass through unchanged.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,13 @@ from .tables import Scratch
 SLOTS = 1 << 20
 PLACE = (1 << 31) - 1
 ROW = 1024  # cells that come to the driver in one row
-SMALL = 4_000_000  # removed lines whose numbers are broadcast at most (about 64 MB); more are joined by a shuffle
+FEW = 2  # shown words of the first round
+SMALL = 1_000_000  # lines whose numbers are broadcast at most (about 32 MB); more are joined by a shuffle
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table for a join: broadcast if it is proven to be small. It is read twice."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _plain(text: Column) -> Column:
@@ -42,8 +49,7 @@ def _plain(text: Column) -> Column:
 
 def _levels(docs: DataFrame) -> bytes:
     """Frequency level (0 to 127, eight to a doubling) of the words of each cell, a byte each."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("body"))
-    words = lines.select(F.explode(F.split("body", " ")).alias("word")).where("word <> ''")
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("k"))
     cells = counts.select("slot", F.least(F.lit(127), F.round(4 * F.log2(F.col("k") + 1)).cast("int")).alias("level"))
     rows = cells.groupBy(F.floor(F.col("slot") / ROW)).agg(F.collect_list(F.struct("slot", "level")).alias("cells"))
@@ -59,47 +65,53 @@ def _need(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of a plain line's distinct words, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))))
+def _ranked(line: Column, levels: Column) -> Column:
+    """The distinct words of a plain line, sorted by level and hash: the level above the upper bits of the hash."""
+
+    def rank(word):
+        w = F.xxhash64(word)
+        level = F.ascii(F.substring(levels, F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(w, 9))
 
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), rank)))
 
-def _parity(words: Column, low: bool) -> Column:
-    """64 bits; each word of one half (by its lowest bit) turns one of them."""
+
+def _parity(words: Column) -> Column:
+    """64 bits, of which each word turns one."""
     one = F.lit(1).cast("long")
-    mine = (lambda w: w.bitwiseAND(one)) if low else (lambda w: F.bitwise_not(w).bitwiseAND(one))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", mine(w), F.shiftrightunsigned(w, 1).bitwiseAND(F.lit(63)).cast("int"))))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, (w % 64).cast("int"))))
 
 
 def _close(x, y) -> Column:
-    """Whether two sets that show a word may be similar. y.meta of a beaten set counts as a set of too many words."""
+    """Whether two sets that show a word may be similar, and meet here first. y.meta of a beaten set counts as a set of
+    too many words."""
     n, m = F.shiftrightunsigned(x("meta"), 31).bitwiseAND(F.lit(PLACE)), F.shiftrightunsigned(y("meta"), 31)
     i, j = x("meta").bitwiseAND(F.lit(PLACE)), y("meta").bitwiseAND(F.lit(PLACE))
-    apart = F.bit_count(x("even").bitwiseXOR(y("even"))) + F.bit_count(x("odd").bitwiseXOR(y("odd")))
     room = F.least(i, j) + F.least(n - i, m - j)
-    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m) & (9 * room >= 4 * (n + m))
+    near = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= n + m) & (9 * room >= 4 * (n + m))
+    return near & ((i == 0) | (j == 0) | (x("prev") != y("prev")))
 
 
-def _shown(sets: DataFrame) -> DataFrame:
-    """word, doc, line, meta (beaten, words and place of the word, packed), parity bits: a row for each shown word."""
+def _shown(sets: DataFrame, most: int | None = None) -> DataFrame:
+    """word, prev, doc, line, meta (beaten, words and place of the word, packed), parity bits: a row for each shown word."""
     packed = F.when(F.col("beaten"), F.lit(1 << 62)).otherwise(F.lit(0).cast("long")) + F.shiftleft(F.col("n").cast("long"), 31)
-    rows = sets.select("doc", "line", packed.alias("meta"), "even", "odd", F.posexplode("head").alias("place", "word"))
-    return rows.select("word", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "even", "odd")
+    head = F.slice("head", 1, most) if most else F.col("head")
+    pairs = F.arrays_zip(head.alias("word"), F.concat(F.array(F.lit(0).cast("long")), F.slice(head, 1, F.size(head) - 1)).alias("prev"))
+    rows = sets.where("head is not null").select("doc", "line", packed.alias("meta"), "bits", F.posexplode(pairs).alias("place", "one"))
+    return rows.select("one.word", "one.prev", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "bits")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _similar(docs: DataFrame, levels: Column, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """doc, line of the later sets of those pairs (doc, line; doc2, line2, the later) that are similar. docs: plain texts."""
     pairs = scratch.put(pairs.distinct(), f"pairs-{name}")
-    lines = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct()
-    ids = lines.select(F.col("doc").alias("doc_id")).distinct()
-    few = ids.count() <= SMALL
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bodies = texts.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    picked = scratch.put(bodies.join(lines, ["doc", "line"]).select("doc", "line", _hashes(F.col("body")).alias("words")), f"words-{name}")
+    lines = scratch.put(pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct(), f"lines-{name}")
+    bodies = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    picked = bodies.join(_small(lines), ["doc", "line"]).select("doc", "line", _ranked(F.col("body"), levels).alias("words"))
+    picked = scratch.put(picked, f"words-{name}")
     both = pairs.join(picked, ["doc", "line"]).join(picked.toDF("doc2", "line2", "words2"), ["doc2", "line2"])
     alike = both.where(9 * F.size(F.array_intersect("words", "words2")) >= 4 * (F.size("words") + F.size("words2")))
     found = scratch.put(alike.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")).distinct(), f"beaten-{name}")
-    scratch.drop(f"pairs-{name}", f"words-{name}")
+    scratch.drop(f"pairs-{name}", f"lines-{name}", f"words-{name}")
     return found
 
 
@@ -109,49 +121,41 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", _plain(F.col("text")).alias("text"))
     levels = F.lit(_levels(docs))
     lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-
-    def ranked(w):
-        level = F.ascii(F.substring(levels, F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 55).bitwiseOR(F.shiftrightunsigned(w, 9))
-
     n = F.size("words")
-    head = F.slice(F.sort_array(F.transform("words", ranked)), 1, n - _need(n) + 1)
-    more = [F.when(n > 3, x).alias(c) for c, x in (("head", head), ("even", _parity(F.col("words"), False)), ("odd", _parity(F.col("words"), True)))]
-    sets = lines.where("ltrim(body) <> ''").select("doc", "line", _hashes(F.col("body")).alias("words"))
-    every = scratch.put(sets.select("doc", "line", F.xxhash64("words").alias("h"), n.alias("n"), *more), "every")
-    rest = F.struct("n", "head", "even", "odd")
-    first = every.where("n > 3").groupBy("h").agg(F.min(F.struct("doc", "line", rest.alias("rest"))).alias("first"))
-    first = scratch.put(first.select("h", "first.doc", "first.line", "first.rest.*"), "first")
-    sets = scratch.put(every.select("doc", "line", "h"), "sets")
-    scratch.drop("every")
-
-    shown = _shown(first.withColumn("beaten", F.lit(False)))
-    at, own = W.partitionBy("word").orderBy("doc", "line"), F.struct("doc", "line", "meta", "even", "odd")
+    head = F.when(n > 3, F.slice("words", 1, n - _need(n) + 1)).alias("head")
+    sets = lines.where("ltrim(body) <> ''").select("doc", "line", _ranked(F.col("body"), levels).alias("words"))
+    every = scratch.put(sets.select("doc", "line", F.xxhash64("words").alias("h"), n.alias("n"), head, F.when(n > 3, _parity(F.col("words"))).alias("bits")), "every")
+    # the lines of equal sets but the first
+    many = every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
+    many = scratch.put(many, "many")
+    copies = scratch.put(every.select("doc", "line", "h").join(_small(many), "h").where("struct(doc, line) <> first").select("doc", "line", "h"), "copies")
+    first = every.join(_small(copies), ["doc", "line", "h"], "left_anti")
+
+    shown = _shown(first.withColumn("beaten", F.lit(False)), FEW)
+    own = F.struct("doc", "line", "meta", "bits", "prev")
+    at = W.partitionBy("word").orderBy("doc", "line")
     met = shown.select(own.alias("y"), F.first(own).over(at).alias("x1"), F.lag(own).over(at).alias("x2"))
     met = met.where("x2 is not null").select("y", F.explode(F.array("x1", "x2")).alias("x"))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
     pair = [x("doc").alias("doc"), x("line").alias("line"), y("doc").alias("doc2"), y("line").alias("line2")]
-    beaten = _similar(docs, met.where(_close(x, y)).select(*pair), scratch, "one")
+    beaten = _similar(docs, levels, met.where(earlier & _close(x, y)).select(*pair), scratch, "one")
 
-    marked = first.join(beaten.withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
-    marked = scratch.put(marked, "marked")
-    scratch.drop("first")
+    marked = first.join(_small(beaten).withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
     shown = _shown(marked)
     pairs = shown.alias("x").join(shown.alias("y").hint("merge"), (x("word") == y("word")) & earlier & _close(x, y))
-    beaten = beaten.union(_similar(docs, pairs.select(*pair), scratch, "two"))
-    beaten = beaten.join(marked.select("doc", "line", "h"), ["doc", "line"]).select("h", F.lit(True).alias("beaten"))
-
-    starts = sets.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k"))
-    suspect = starts.join(beaten, "h", "left").where("beaten or k > 1").select("h", "first", F.coalesce("beaten", F.lit(False)).alias("beaten"))
-    gone = sets.join(suspect, "h").where("beaten or struct(doc, line) <> first")
-    return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    beaten = beaten.union(_similar(docs, levels, pairs.select(*pair), scratch, "two"))
+    # with the first of a class all of it goes
+    classes = scratch.put(first.select("doc", "line", "h").join(_small(beaten), ["doc", "line"]).select("h").distinct(), "classes")
+    gone = every.select("doc", "line", "h").join(_small(classes), "h", "left_semi").select("doc", "line").union(copies.select("doc", "line"))
+    gone = scratch.put(gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
+    scratch.drop("every", "many", "copies", "classes", "beaten-one", "beaten-two")
+    return gone
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; other columns and their order as before. docs: doc_id, text and others."""
-    spark = docs.sparkSession
-    gone = Scratch(spark, "gone").put(removed(docs), "gone")
+    gone = removed(docs)
     size = gone.agg(F.sum(F.size("lines"))).first()[0] or 0
     gone = F.broadcast(gone) if size <= SMALL else gone
     return _without(docs.join(gone.withColumnRenamed("lines", "__gone"), "doc_id", "left"), docs.columns)

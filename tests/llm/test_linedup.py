@@ -34,6 +34,21 @@ def test_against_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_repeated_and_missing_ids(spark):
+    line = "a b c d e f g h i j"
+    rows = [(1, line), (1, line), (2, "x y z w v\n" + line), (2, "other words in here\n" + line + " k"), (None, line), (3, line + " l\nnew")]
+    got = sorted((r.doc_id or 0, r.text) for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, line), (1, line), (2, "x y z w v"), (2, "other words in here"), (0, line), (3, "new")])
+
+
+def test_groups_of_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"v{k}" for k in range(30)]
+    rows = [(k, " ".join(w if rng.random() > 0.06 else f"u{rng.randint(0, 9)}" for w in base) + "\ncommon line of words"[: rng.choice((0, 22))]) for k in range(250)]
+    got = {r.doc_id: r.text for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute([(*r, "") for r in rows])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, h long")
     assert linedup.clean(df).collect() == []
