@@ -10,7 +10,7 @@ are ordered by rarity: the counts of all words, added up in SLOTS cells by hash,
 levels (a constant of SLOTS bytes, of a fixed size for any input); rarer levels come first, ties by hash. A set of n
 words shows the first n - ceil(0.8 n) + 1 of this order. Similar sets show a common word (prefix filter), neither has
 over 5/4 of the other's words (length filter), and the places of the common word leave room for enough common words
-before and after it (position filter). Each shown word travels with 64 parity bits of its whole set: bits in which
+before and after it (position filter). Each shown word travels with 64 parity bits of its whole set (128 of longer sets): bits in which
 two sets differ are at most the words in which they differ, which drops almost all other pairs inside the join. Sets
 that show the same two words in a row meet at the first of them only. What passes is verified on the whole sets.
 
@@ -33,6 +33,7 @@ from .tables import Scratch
 SLOTS = 1 << 20
 PLACE = (1 << 31) - 1
 ROW = 1024  # cells that come to the driver in one row
+LONG = 60  # words over which a set has 128 parity bits
 FEW = 2  # shown words of the first round
 SMALL = 1_000_000  # lines whose numbers are broadcast at most (about 32 MB); more are joined by a shuffle
 
@@ -76,10 +77,15 @@ def _ranked(line: Column, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), rank)))
 
 
-def _parity(words: Column) -> Column:
-    """64 bits, of which each word turns one."""
+def _parity(words: Column, half: int | None = None) -> Column:
+    """64 bits, of which each word turns one; with half (0 or 1) only the words of that half do."""
     one = F.lit(1).cast("long")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, (w % 64).cast("int"))))
+
+    def turn(bits, w):
+        new = bits.bitwiseXOR(F.call_function("shiftleft", one, (w % 64).cast("int")))
+        return new if half is None else F.when(w.bitwiseAND(F.lit(64)) == 64 * half, new).otherwise(bits)
+
+    return F.aggregate(words, F.lit(0).cast("long"), turn)
 
 
 def _close(x, y) -> Column:
@@ -88,7 +94,9 @@ def _close(x, y) -> Column:
     n, m = F.shiftrightunsigned(x("meta"), 31).bitwiseAND(F.lit(PLACE)), F.shiftrightunsigned(y("meta"), 31)
     i, j = x("meta").bitwiseAND(F.lit(PLACE)), y("meta").bitwiseAND(F.lit(PLACE))
     room = F.least(i, j) + F.least(n - i, m - j)
-    near = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= n + m) & (9 * room >= 4 * (n + m))
+    bits, more = x("bits").bitwiseXOR(y("bits")), x("more").bitwiseXOR(y("more"))
+    apart = F.when((n > LONG) & (m > LONG), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
+    near = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m) & (9 * room >= 4 * (n + m))
     return near & ((i == 0) | (j == 0) | (x("prev") != y("prev")))
 
 
@@ -97,8 +105,8 @@ def _shown(sets: DataFrame, most: int | None = None) -> DataFrame:
     packed = F.when(F.col("beaten"), F.lit(1 << 62)).otherwise(F.lit(0).cast("long")) + F.shiftleft(F.col("n").cast("long"), 31)
     head = F.slice("head", 1, most) if most else F.col("head")
     pairs = F.arrays_zip(head.alias("word"), F.concat(F.array(F.lit(0).cast("long")), F.slice(head, 1, F.size(head) - 1)).alias("prev"))
-    rows = sets.where("head is not null").select("doc", "line", packed.alias("meta"), "bits", F.posexplode(pairs).alias("place", "one"))
-    return rows.select("one.word", "one.prev", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "bits")
+    rows = sets.where("head is not null").select("doc", "line", packed.alias("meta"), "bits", "more", F.posexplode(pairs).alias("place", "one"))
+    return rows.select("one.word", "one.prev", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "bits", "more")
 
 
 def _similar(docs: DataFrame, levels: Column, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -124,7 +132,9 @@ def removed(docs: DataFrame) -> DataFrame:
     n = F.size("words")
     head = F.when(n > 3, F.slice("words", 1, n - _need(n) + 1)).alias("head")
     sets = lines.where("ltrim(body) <> ''").select("doc", "line", _ranked(F.col("body"), levels).alias("words"))
-    every = scratch.put(sets.select("doc", "line", F.xxhash64("words").alias("h"), n.alias("n"), head, F.when(n > 3, _parity(F.col("words"))).alias("bits")), "every")
+    bits = F.when(n > LONG, _parity(F.col("words"), 0)).when(n > 3, _parity(F.col("words"))).alias("bits")
+    more = F.when(n > LONG, _parity(F.col("words"), 1)).otherwise(F.lit(0).cast("long")).alias("more")
+    every = scratch.put(sets.select("doc", "line", F.xxhash64("words").alias("h"), n.alias("n"), head, bits, more), "every")
     # the lines of equal sets but the first
     many = every.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
     many = scratch.put(many, "many")
@@ -132,7 +142,7 @@ def removed(docs: DataFrame) -> DataFrame:
     first = every.join(_small(copies), ["doc", "line", "h"], "left_anti")
 
     shown = _shown(first.withColumn("beaten", F.lit(False)), FEW)
-    own = F.struct("doc", "line", "meta", "bits", "prev")
+    own = F.struct("doc", "line", "meta", "bits", "more", "prev")
     at = W.partitionBy("word").orderBy("doc", "line")
     met = shown.select(own.alias("y"), F.first(own).over(at).alias("x1"), F.lag(own).over(at).alias("x2"))
     met = met.where("x2 is not null").select("y", F.explode(F.array("x1", "x2")).alias("x"))

@@ -43,7 +43,7 @@ def test_repeated_and_missing_ids(spark):
 
 def test_groups_of_near_copies(spark):
     rng = random.Random(8)
-    base = [f"v{k}" for k in range(30)]
+    base = [f"v{k}" for k in range(64)]  # some of its copies have more distinct words than LONG, some fewer
     rows = [(k, " ".join(w if rng.random() > 0.06 else f"u{rng.randint(0, 9)}" for w in base) + "\ncommon line of words"[: rng.choice((0, 22))]) for k in range(250)]
     got = {r.doc_id: r.text for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute([(*r, "") for r in rows])
