@@ -15,7 +15,7 @@ two sets differ are at most the words in which they differ, which drops almost a
 that show the same two words in a row meet at the first of them only. What passes is verified on the whole sets.
 
 Pairs are made in two rounds. In the first a set meets, for each of the FEW rarest words that it shows, the earliest set
-that has it among them and the one before itself. Sets that this beats need no second round, though they still beat
+that has it among them and the BEFORE ones before itself, and is held against the likeliest of these. Sets that this beats need no second round, though they still beat
 others; so a large group of near copies costs in proportion to its members. In the second round all others meet all
 earlier sets. Sets of up to three words match equal ones only.
 
@@ -35,6 +35,7 @@ PLACE = (1 << 31) - 1
 ROW = 1024  # cells that come to the driver in one row
 LONG = 60  # words over which a set has 128 parity bits
 FEW = 2  # shown words of the first round
+BEFORE = 6  # sets before itself that a set meets there
 SMALL = 1_000_000  # lines whose numbers are broadcast at most (about 32 MB); more are joined by a shuffle
 
 
@@ -88,15 +89,23 @@ def _parity(words: Column, half: int | None = None) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), turn)
 
 
+def _words(z) -> Column:
+    return F.shiftrightunsigned(z("meta"), 31).bitwiseAND(F.lit(PLACE))
+
+
+def _apart(x, y) -> Column:
+    """Parity bits in which two sets differ."""
+    bits, more = x("bits").bitwiseXOR(y("bits")), x("more").bitwiseXOR(y("more"))
+    return F.when((_words(x) > LONG) & (_words(y) > LONG), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
+
+
 def _close(x, y) -> Column:
     """Whether two sets that show a word may be similar, and meet here first. y.meta of a beaten set counts as a set of
     too many words."""
-    n, m = F.shiftrightunsigned(x("meta"), 31).bitwiseAND(F.lit(PLACE)), F.shiftrightunsigned(y("meta"), 31)
+    n, m = _words(x), F.shiftrightunsigned(y("meta"), 31)
     i, j = x("meta").bitwiseAND(F.lit(PLACE)), y("meta").bitwiseAND(F.lit(PLACE))
     room = F.least(i, j) + F.least(n - i, m - j)
-    bits, more = x("bits").bitwiseXOR(y("bits")), x("more").bitwiseXOR(y("more"))
-    apart = F.when((n > LONG) & (m > LONG), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(bits.bitwiseXOR(more)))
-    near = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * apart <= n + m) & (9 * room >= 4 * (n + m))
+    near = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * _apart(x, y) <= n + m) & (9 * room >= 4 * (n + m))
     return near & ((i == 0) | (j == 0) | (x("prev") != y("prev")))
 
 
@@ -144,12 +153,14 @@ def removed(docs: DataFrame) -> DataFrame:
     shown = _shown(first.withColumn("beaten", F.lit(False)), FEW)
     own = F.struct("doc", "line", "meta", "bits", "more", "prev")
     at = W.partitionBy("word").orderBy("doc", "line")
-    met = shown.select(own.alias("y"), F.first(own).over(at).alias("x1"), F.lag(own).over(at).alias("x2"))
-    met = met.where("x2 is not null").select("y", F.explode(F.array("x1", "x2")).alias("x"))
+    met = shown.select(own.alias("y"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, BEFORE + 1)]).alias("xs"))
+    met = met.select("y", F.explode("xs").alias("x")).where("x is not null")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
     pair = [x("doc").alias("doc"), x("line").alias("line"), y("doc").alias("doc2"), y("line").alias("line2")]
-    beaten = _similar(docs, levels, met.where(earlier & _close(x, y)).select(*pair), scratch, "one")
+    met = met.where(earlier & _close(x, y)).select(*pair, _apart(x, y).alias("apart"))
+    met = met.groupBy("doc2", "line2").agg(F.min(F.struct("apart", "doc", "line")).alias("x")).select("x.doc", "x.line", "doc2", "line2")
+    beaten = _similar(docs, levels, met, scratch, "one")
 
     marked = first.join(_small(beaten).withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
     shown = _shown(marked)
