@@ -14,10 +14,10 @@ before and after it (position filter). Each shown word travels with 64 parity bi
 two sets differ are at most the words in which they differ, which drops almost all other pairs inside the join. Sets
 that show the same two words in a row meet at the first of them only. What passes is verified on the whole sets.
 
-Pairs are made in two rounds. In the first a set meets, for each of the FEW rarest words that it shows, the earliest set
-that has it among them and the BEFORE ones before itself, and is held against the likeliest of these. Sets that this beats need no second round, though they still beat
-others; so a large group of near copies costs in proportion to its members. In the second round all others meet all
-earlier sets. Sets of up to three words match equal ones only.
+Pairs are made in rounds. In the first two a set meets, for each of the FEW rarest words that it shows, the first set
+that has it among them and the BEFORE ones before itself, in order of place and then of parity bits, and is held against
+the likeliest of these that is earlier. Sets that this beats need no more, though they still beat others; so a large
+group of near copies costs in proportion to its members. In the last round all others meet all earlier sets. Sets of up to three words match equal ones only.
 
 Words are compared by their levels and 55 bits of their hashes, equal sets by 64-bit hashes of these. Null texts stay
 null, empty ones empty; rows without an id are left alone and beat none; what is removed for one of several rows with an
@@ -150,27 +150,31 @@ def removed(docs: DataFrame) -> DataFrame:
     copies = scratch.put(every.select("doc", "line", "h").join(_small(many), "h").where("struct(doc, line) <> first").select("doc", "line", "h"), "copies")
     first = every.join(_small(copies), ["doc", "line", "h"], "left_anti")
 
-    shown = _shown(first.withColumn("beaten", F.lit(False)), FEW)
-    own = F.struct("doc", "line", "meta", "bits", "more", "prev")
-    at = W.partitionBy("word").orderBy("doc", "line")
-    met = shown.select(own.alias("y"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, BEFORE + 1)]).alias("xs"))
-    met = met.select("y", F.explode("xs").alias("x")).where("x is not null")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
     pair = [x("doc").alias("doc"), x("line").alias("line"), y("doc").alias("doc2"), y("line").alias("line2")]
-    met = met.where(earlier & _close(x, y)).select(*pair, _apart(x, y).alias("apart"))
-    met = met.groupBy("doc2", "line2").agg(F.min(F.struct("apart", "doc", "line")).alias("x")).select("x.doc", "x.line", "doc2", "line2")
-    beaten = _similar(docs, levels, met, scratch, "one")
+    own = F.struct("doc", "line", "meta", "bits", "more", "prev")
+    beaten, marked = None, first.withColumn("beaten", F.lit(False))
+    for turn, order in enumerate((("doc", "line"), ("bits", "more", "doc", "line"))):
+        at = W.partitionBy("word").orderBy(*order)
+        met = _shown(marked, FEW).select(own.alias("one"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, BEFORE + 1)]).alias("others"))
+        met = met.select("one", F.explode("others").alias("other")).where("other is not null")
+        turned = (F.col("other.doc") < F.col("one.doc")) | ((F.col("other.doc") == F.col("one.doc")) & (F.col("other.line") < F.col("one.line")))
+        met = met.select(F.when(turned, F.col("other")).otherwise(F.col("one")).alias("x"), F.when(turned, F.col("one")).otherwise(F.col("other")).alias("y"))
+        met = met.where(earlier & _close(x, y)).select(*pair, _apart(x, y).alias("apart"))
+        met = met.groupBy("doc2", "line2").agg(F.min(F.struct("apart", "doc", "line")).alias("x")).select("x.doc", "x.line", "doc2", "line2")
+        new = _similar(docs, levels, met, scratch, f"turn{turn}")
+        beaten = new if beaten is None else beaten.union(new)
+        marked = first.join(_small(beaten).withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
 
-    marked = first.join(_small(beaten).withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
     shown = _shown(marked)
     pairs = shown.alias("x").join(shown.alias("y").hint("merge"), (x("word") == y("word")) & earlier & _close(x, y))
-    beaten = beaten.union(_similar(docs, levels, pairs.select(*pair), scratch, "two"))
+    beaten = beaten.union(_similar(docs, levels, pairs.select(*pair), scratch, "rest"))
     # with the first of a class all of it goes
     classes = scratch.put(first.select("doc", "line", "h").join(_small(beaten), ["doc", "line"]).select("h").distinct(), "classes")
     gone = every.select("doc", "line", "h").join(_small(classes), "h", "left_semi").select("doc", "line").union(copies.select("doc", "line"))
     gone = scratch.put(gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
-    scratch.drop("every", "many", "copies", "classes", "beaten-one", "beaten-two")
+    scratch.drop("every", "many", "copies", "classes", "beaten-turn0", "beaten-turn1", "beaten-rest")
     return gone
 
 
