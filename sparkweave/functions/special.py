@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,29 @@ def t_two_sided(theta: Column, df: int) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - body * F.lit(2 / math.pi))
 
 
+def t_tail(theta, df: int):
+    """t_two_sided of an array of angles."""
+    c2, inner = np.cos(theta) ** 2, np.ones_like(theta)
+    if df % 2 == 0:
+        for j in range(df // 2 - 1, 0, -1):
+            inner = 1 + inner * c2 * ((2 * j - 1) / (2 * j))
+        return np.maximum(0, 1 - np.sin(theta) * inner)
+    for j in range((df - 3) // 2, 0, -1):
+        inner = 1 + inner * c2 * (2 * j / (2 * j + 1))
+    body = theta + (np.sin(theta) * np.cos(theta) * inner if df > 1 else 0)
+    return np.maximum(0, 1 - body * (2 / math.pi))
+
+
+def normal_tail(z):
+    """normal_two_sided of an array, by the same series."""
+    x2 = z * z
+    far = np.abs(z) > 7
+    inner = np.ones_like(z)
+    for k in range(75, 0, -1):
+        inner = 1 + inner * x2 / (2 * k + 1)
+    return np.where(far, 0, np.maximum(0, 1 - math.sqrt(2 / math.pi) * np.abs(z) * np.exp(-x2 / 2) * inner))
+
+
 def normal_two_sided(z: Column) -> Column:
     """Two-sided p of a standard normal statistic; 0 beyond 7 standard deviations."""
     x2 = z * z

@@ -2,12 +2,13 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkweave.functions.ranks import average_rank, drawn, z_score
-from sparkweave.functions.special import normal_two_sided, t_angle, t_two_sided
+from sparkweave.functions.special import normal_tail, t_angle, t_tail
 from sparkweave.sources.scratch import checkpointed
 
 from . import fdr, pairs
@@ -63,12 +64,11 @@ def test_angle(r: Column, n: int) -> Column:
     return t_angle(r * F.lit((n - 2) ** 0.5) / F.sqrt(F.greatest(F.lit(1.0) - r * r, F.lit(FLOOR))), n - 2)
 
 
-def fisher_statistic(low: Column, high: Column, n_low: int, n_high: int) -> Column:
-    """Standard normal statistic of the difference of two correlations."""
-    def z(r):
-        return F.atanh(F.least(F.greatest(r, F.lit(-0.9999)), F.lit(0.9999)))
-
-    return (z(high) - z(low)) / F.lit((1 / (n_low - 3) + 1 / (n_high - 3)) ** 0.5)
+def tests_of(low, high, n: int):
+    """Arrays r_low, r_high and p of both correlations over n samples each and of their difference."""
+    angle = lambda r: np.arctan(np.abs(r) / np.sqrt(np.maximum(1 - r * r, FLOOR)))
+    z = (np.arctanh(np.clip(high, -0.9999, 0.9999)) - np.arctanh(np.clip(low, -0.9999, 0.9999))) / (2 / (n - 3)) ** 0.5
+    return low, high, t_tail(angle(low), n - 2), t_tail(angle(high), n - 2), normal_tail(z)
 
 
 def classify(r_low: Column, r_high: Column, sig_low: Column, sig_high: Column, threshold: float) -> Column:
@@ -91,12 +91,10 @@ def edges(long: DataFrame, params: Params = Params()) -> DataFrame:
     """gene_i, gene_j, r, p, q of both sides and of their difference, masks and class, for one reference feature."""
     split = extremes(long, params.fraction, params.focus)
     n = split.where("side = 'low'").count()
-    low = pairs.all_pairs(side_vectors(long, split, "low")).withColumnRenamed("r", "r_low")
-    high = pairs.all_pairs(side_vectors(long, split, "high")).withColumnRenamed("r", "r_high")
-    both = low.join(high, ["gene_i", "gene_j"])
-    both = both.withColumns({"__low": test_angle(F.col("r_low"), n), "__high": test_angle(F.col("r_high"), n), "__z": fisher_statistic(F.col("r_low"), F.col("r_high"), n, n)})
-    p = {"p_low": t_two_sided(F.col("__low"), n - 2), "p_high": t_two_sided(F.col("__high"), n - 2), "p_diff": normal_two_sided(F.col("__z"))}
-    both = both.withColumns(p | {"delta": F.col("r_high") - F.col("r_low")}).drop("__low", "__high", "__z")
+    low, high = side_vectors(long, split, "low"), side_vectors(long, split, "high")
+    both = low.where("z is not null").join(high.where("z is not null").withColumnRenamed("z", "z2"), "gene")
+    both = pairs.all_pairs_of_two(both, lambda a, b: tests_of(a, b, n), "r_low double, r_high double, p_low double, p_high double, p_diff double")
+    both = both.withColumn("delta", F.col("r_high") - F.col("r_low"))
     # written once: three rankings read it
     both = checkpointed(both)
     for side in ("low", "high", "diff"):

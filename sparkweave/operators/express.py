@@ -35,6 +35,42 @@ def mad_shift(long: DataFrame, splits: DataFrame, *by: str) -> DataFrame:
     return sides.select(*keys, F.col("low_mean").alias("mean_mad_low"), F.col("high_mean").alias("mean_mad_high"), F.col("low_median").alias("median_mad_low"), F.col("high_median").alias("median_mad_high"), (F.col("high_mean") - F.col("low_mean")).alias("shift"), F.col("low_n").alias("n_genes"))
 
 
+def mad_shifts(long: DataFrame, splits: DataFrame, block: int = 256) -> DataFrame:
+    """mad_shift for every reference at once. Genes without nulls; splits: ref_gene, side, sample.
+
+    References and genes are dealt into blocks; a group holds one block of each, and each reference's two sides are
+    medians over slices of the genes' matrix. Nothing is broadcast.
+    """
+    placed = long.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("a"))
+    genes = placed.select("gene", F.transform("a", lambda x: x["value"].cast("double")).alias("values"), F.transform("a", lambda x: x["sample"].cast("long")).alias("samples"))
+    sides = splits.groupBy(F.col("ref_gene").alias("gene")).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("sample").cast("long")))).alias(s) for s in ("low", "high")])
+    count = genes.count()
+    blocks = max(1, -(-count // block))
+    number = F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    as_gene = genes.select("gene", "values", "samples", number.alias("g"), others.alias("r"))
+    as_ref = sides.select("gene", "low", "high", number.alias("r"), others.alias("g"))
+
+    def run(key, refs, mine):
+        out = {"ref_gene": [], "side": [], "mad": []}
+        ids = mine["gene"].to_numpy()
+        if len(ids):
+            x, where = np.array(mine["values"].to_list()), np.array(mine["samples"].iloc[0])
+        for ref, low, high in zip(refs["gene"], refs["low"], refs["high"], strict=True):
+            for side, picked in (("low", low), ("high", high)) if len(ids) else ():
+                part = x[ids != ref][:, np.searchsorted(where, picked)]
+                middle = np.median(part, axis=1, keepdims=True)
+                mads = MAD_SCALE * np.median(np.abs(part - middle), axis=1)
+                out["ref_gene"] += [ref] * len(mads)
+                out["side"] += [side] * len(mads)
+                out["mad"].append(mads)
+        return pd.DataFrame({"ref_gene": np.array(out["ref_gene"], dtype="int64"), "side": out["side"], "mad": np.concatenate(out["mad"]) if out["mad"] else np.zeros(0)})
+
+    per = as_ref.groupBy("r", "g").cogroup(as_gene.groupBy("r", "g")).applyInPandas(run, "ref_gene long, side string, mad double")
+    wide = per.groupBy("ref_gene").pivot("side", ["low", "high"]).agg(F.avg("mad").alias("mean"), F.median("mad").alias("median"), F.count("mad").alias("n"))
+    return wide.select("ref_gene", F.col("low_mean").alias("mean_mad_low"), F.col("high_mean").alias("mean_mad_high"), F.col("low_median").alias("median_mad_low"), F.col("high_median").alias("median_mad_high"), (F.col("high_mean") - F.col("low_mean")).alias("shift"), F.col("low_n").alias("n_genes"))
+
+
 def sample_deviation(long: DataFrame) -> DataFrame:
     """sample and the median, mean and sum over genes of its distance from the gene's mean."""
     means = long.groupBy("gene").agg(F.avg("value").alias("m"))
@@ -227,3 +263,71 @@ def principal_components(wide: DataFrame, columns: list[str], k: int) -> tuple[D
 
 def broken_stick(n: int) -> list[float]:
     return [sum(1 / j for j in range(i, n + 1)) / n for i in range(1, n + 1)]
+
+
+def feature_tests(features: DataFrame, covariates: DataFrame, key: str, n: int) -> DataFrame:
+    """feature, covariate, n, r, p: Spearman test of each feature against each covariate over the rows that have both.
+
+    n: number of rows, which sets the degrees of freedom of p; pairs with fewer complete rows have a null p.
+    """
+    from sparkweave.functions.special import t_two_sided
+
+    from .diffnet import test_angle
+
+    tall = lambda df, name, value: df.unpivot(key, [F.col(c).cast("double").alias(c) for c in df.columns if c != key], name, value)
+    both = tall(features, "feature", "x").join(F.broadcast(tall(covariates, "covariate", "y")), key).where("x is not null and y is not null")
+    keys = ["feature", "covariate"]
+    ranked = both.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r")).withColumn("__a", test_angle(F.col("r"), n))
+    return out.withColumn("p", F.when(F.col("n") == n, t_two_sided(F.col("__a"), n - 2))).drop("__a")
+
+
+def global_rank(df: DataFrame, column: str, out: str, share: str | None = None) -> DataFrame:
+    """df with the average rank of a column, largest first, and with `share` the part of values up to each; nulls have none.
+
+    Distinct values are counted first; counts of CELLS ranges of values, cut at approximate quantiles, place the
+    ranges, so no window holds more than one range.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    cuts = counts.approxQuantile(column, [k / 64 for k in range(1, 64)], 0.005) or [0.0]
+    cell = sum((F.when(F.col(column) < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    counts = counts.withColumn("__cell", cell)
+    before = counts.groupBy("__cell").agg(F.sum("__n").alias("__m"))  # at most 64 rows
+    w = W.partitionBy(F.lit(0)).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select("__cell", F.coalesce(F.sum("__m").over(w), F.lit(0)).alias("__before"), F.sum("__m").over(W.partitionBy(F.lit(0))).alias("__all"))
+    own = W.partitionBy("__cell").orderBy(F.desc(column)).rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.join(F.broadcast(before), "__cell").withColumn("__upto", F.sum("__n").over(own))
+    upto = F.col("__before") + F.col("__upto")
+    parts = [((F.col("__all") - upto + F.col("__n")) / F.col("__all")).alias(share)] if share else []
+    ranks = placed.select(column, (upto - (F.col("__n") - 1) / 2).alias(out), *parts)
+    return df.join(ranks, column, "left").select(*df.columns, out, *[share] * bool(share))
+
+
+def class_summary(classes: DataFrame, *by: str) -> DataFrame:
+    """Counts of each class of mean_and_spread_class and shares; genes of Both count as of either spread class."""
+    n = lambda c: F.sum((F.col("class") == c).cast("long"))
+    raw = classes.groupBy(*by).agg(F.count("*").alias("total"), *[n(c).alias(a) for c, a in (("up_deg", "up_deg"), ("down_deg", "down_deg"), ("up_dvg", "__u"), ("down_dvg", "__d"), ("Both", "n_both"))])
+    deg = F.col("up_deg") + F.col("down_deg") + F.col("n_both")
+    return raw.select(*by, "total", "up_deg", "down_deg", (F.col("__u") + F.col("n_both")).alias("up_dvg"), (F.col("__d") + F.col("n_both")).alias("down_dvg"), "n_both", (F.col("total") - deg - F.col("__u") - F.col("__d")).alias("ns"), (100 * deg / F.col("total")).alias("percent_deg"))
+
+
+def venn_members(members: DataFrame) -> DataFrame:
+    """gene, pattern: names of all sets that hold it, joined by &. members: name, gene."""
+    return members.groupBy("gene").agg(F.array_join(F.array_sort(F.collect_set("name")), "&").alias("pattern"))
+
+
+def context_variance(values: DataFrame, key: str, value: str) -> DataFrame:
+    return values.groupBy(key).agg(F.var_pop(value).alias("variance"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def mapping_rate(df: DataFrame, name: str, pattern: str) -> DataFrame:
+    """One row: distinct names, those that a pattern finds, and their share to four places."""
+    named = F.count_distinct(F.when(F.col(name).rlike(pattern), F.col(name)))
+    return df.agg(F.count_distinct(name).alias("total"), named.alias("named")).withColumn("rate", F.round(F.col("named") / F.col("total"), 4))
+
+
+def metric_correlations(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, r for every pair of columns, from one pass."""
+    row = wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a in columns for b in columns])
+    tall = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a in columns for b in columns])).alias("x"))
+    return tall.select("x.*")

@@ -1,20 +1,22 @@
 """False-discovery control over any number of rows without a single-task window."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELLS = 1024  # of equal width over [0, 1]
+CELLS = 1024  # of equal width over [1 / CELLS, 1]; below, each halving has FINE cells, so that small p spread as well
+FINE = 16
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, *by: str) -> DataFrame:
     """df with q values; null p stay null and do not count.
 
-    p is cut into cells of equal width. Counts of the cells before give each row its rank, the least p * m / rank of
+    p is cut into cells (at most CELLS + 1074 * FINE of them, and one for 0). Counts of the cells before give each row its rank, the least p * m / rank of
     the cells behind and of the row's own cell from the row on gives its q: two tiny tables join what each cell knows.
     """
     cell, by = "__cell", list(by)
-    rows = df.withColumn(cell, F.when(F.col(p).isNotNull(), F.least(F.floor(F.col(p) * CELLS), F.lit(CELLS - 1)).cast("int")))
+    wide, small = F.least(F.floor(F.col(p) * CELLS), F.lit(CELLS - 1)), F.floor(F.log2(p) * FINE)
+    rows = df.withColumn(cell, F.when(F.col(p) >= 1 / CELLS, wide).when(F.col(p) > 0, small).when(F.col(p) == 0, -1100 * FINE).cast("int"))
     keyed = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     counts = rows.where(F.col(p).isNotNull()).groupBy(*by, cell).agg(F.count("*").alias("__n"))
     counts = counts.select(*by, cell, F.sum("__n").over(keyed).alias("__m"), (F.sum("__n").over(keyed.orderBy(cell).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
@@ -30,5 +32,8 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str, *by: str) -> DataFrame:
     return out.withColumn(q, F.when(F.col(p).isNotNull(), value)).select(*df.columns, q)
 
 
-def bonferroni(p: str, *by: str) -> Column:
-    return F.least(F.lit(1.0), F.col(p) * F.count(p).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0))))
+def bonferroni(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
+    """df with p times the number of p that are not null (of the key), at most 1."""
+    counts = df.groupBy(*by).agg(F.count(p).alias("__k"))
+    joined = df.join(counts, list(by)) if by else df.crossJoin(F.broadcast(counts))
+    return joined.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("__k"))).drop("__k")

@@ -6,6 +6,7 @@ correlations are one matrix product. Nothing is broadcast, and a task's memory i
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,36 @@ def all_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.groupBy("lo", "hi").applyInPandas(run, "gene_i long, gene_j long, r double")
 
 
+def all_pairs_of_two(vectors: DataFrame, measure, columns: str, block: int = BLOCK) -> DataFrame:
+    """gene_i < gene_j and what `measure` makes of the pair's two correlations; vectors: gene long, z and z2.
+
+    Both correlations of a pair come from the same group of blocks, so no table of pairs is ever joined. measure takes
+    and returns arrays (as many as `columns` names); ids come back to the order gene_i < gene_j.
+    """
+    count = vectors.count()
+    blocks = max(1, -(-count // block))
+    keyed = vectors.withColumn("b", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
+    dealt = keyed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("gene", "z", "z2", "b", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(key, table):
+        lo, hi = (k.as_py() for k in key)
+        ids, b = table.column("gene").to_numpy(), table.column("b").to_numpy()
+        one, two = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        i, j = np.broadcast_arrays(ids[one][:, None], ids[two][None, :])
+        pick = i < j if lo == hi else np.ones(i.shape, bool)
+        got = []
+        for c in ("z", "z2"):
+            z = table.column(c).combine_chunks()
+            z = z.flatten().to_numpy().reshape(len(ids), -1)
+            got.append(np.clip(z[one] @ z[two].T / (z.shape[1] - 1), -1, 1)[pick])
+        i, j = i[pick], j[pick]
+        arrays = [pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *map(pa.array, measure(*got))]
+        return pa.Table.from_arrays(arrays, names=["gene_i", "gene_j", *names])
+
+    return dealt.groupBy("lo", "hi").applyInArrow(run, f"gene_i long, gene_j long, {columns}")
+
+
 def focus_row(vectors: DataFrame, focus: int) -> DataFrame:
     """gene, r with one feature; its single row is broadcast."""
     one = vectors.where(F.col("gene") == focus).select(F.col("z").alias("__f"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkweave.functions.ranks import average_rank, drawn_sql
+from sparkweave.functions.ranks import drawn_sql
 from sparkweave.operators import diffnet, express, fdr, graph, pairs
 from sparkweave.sources.matrix import from_embeddings
 
@@ -174,16 +174,16 @@ def gene_statistics(spark, sf_dir):
 @query(f"WITH {STATS} SELECT gene, {r6('mad')} AS mad, rank() OVER (ORDER BY mad DESC) + (count(*) OVER (PARTITION BY mad) - 1) / 2.0::DOUBLE AS mad_rank, round(cume_dist() OVER (ORDER BY mad), 6) AS ecdf FROM st")
 def mad_ranks(spark, sf_dir):
     m = express.gene_statistics(from_embeddings(spark, sf_dir)).select("gene", "mad")
-    return rounded(m.withColumns({"mad_rank": average_rank("mad", descending=True), "ecdf": F.cume_dist().over(W.partitionBy(F.lit(0)).orderBy("mad"))}))
+    return rounded(express.global_rank(m, "mad", "mad_rank", "ecdf"))
 
 
-@query(f"""WITH {EXPR}, {SPLIT}, few AS (SELECT * FROM split WHERE g < 4), j AS (SELECT f.g AS ref_gene, f.side, e.g, e.v FROM expr e JOIN few f ON f.s = e.s AND f.g <> e.g),
+@query(f"""WITH {EXPR}, {SPLIT}, j AS (SELECT f.g AS ref_gene, f.side, e.g, e.v FROM expr e JOIN split f ON f.s = e.s AND f.g <> e.g),
 m AS (SELECT *, median(v) OVER (PARTITION BY ref_gene, side, g) AS med FROM j), d AS (SELECT ref_gene, side, g, 1.4826::DOUBLE * median(abs(v - med)) AS mad FROM m GROUP BY ALL)
 SELECT ref_gene, {r6("avg(mad) FILTER (side = 'low')")} AS mean_mad_low, {r6("avg(mad) FILTER (side = 'high')")} AS mean_mad_high, {r6("median(mad) FILTER (side = 'low')")} AS median_mad_low,
 {r6("median(mad) FILTER (side = 'high')")} AS median_mad_high, {r6("avg(mad) FILTER (side = 'high') - avg(mad) FILTER (side = 'low')")} AS shift, count(*) FILTER (side = 'low') AS n_genes FROM d GROUP BY ref_gene""")
 def mad_shift(spark, sf_dir):
     long = from_embeddings(spark, sf_dir)
-    return rounded(express.mad_shift(long, diffnet.extremes(long, 0.2, 0, 1, 2, 3)))
+    return rounded(express.mad_shifts(long, diffnet.extremes(long, 0.2)))
 
 
 @query(f"""WITH {EXPR}, d AS (SELECT s, abs(v - avg(v) OVER (PARTITION BY g)) AS d FROM expr) SELECT s AS sample, {r6('median(d)')} AS itv_median, {r6('avg(d)')} AS itv_mean, {r6('sum(d)')} AS itv_sum FROM d GROUP BY s""")
@@ -360,7 +360,8 @@ def adjusted_p(spark, sf_dir):
 
     s = express.gene_statistics(from_embeddings(spark, sf_dir)).select("gene", (F.col("mean") * F.sqrt("n") / F.col("sd")).alias("t"))
     s = fdr.benjamini_hochberg(s.withColumn("p", normal_two_sided(F.col("t"))), "p", "q")
-    return rounded(s.select("gene", "p", "q", fdr.bonferroni("p").alias("bonferroni"), express.deg_class(F.col("q"), F.col("t")).alias("class"), express.stars(F.col("p")).alias("stars")))
+    s = fdr.bonferroni(s, "p", "bonferroni")
+    return rounded(s.select("gene", "p", "q", "bonferroni", express.deg_class(F.col("q"), F.col("t")).alias("class"), express.stars(F.col("p")).alias("stars")))
 
 
 @query("""SELECT p_partkey, p_name, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN p_name || ' (' || p_partkey || ')' ELSE p_name END AS label FROM part WHERE NOT regexp_matches(p_type, '^(PROMO|SMALL)') AND length(p_name) <= 30""")
