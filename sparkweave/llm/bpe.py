@@ -32,8 +32,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Entries that a worker remembers of words and of transitions. A full table takes no more: what
 #: came first is what is common, and the rest is worked out each time.
-MEMORY = 200_000
-_SLOTS = 1 << 20  # of the transition table
+MEMORY = 60_000
+_SLOTS = 1 << 18  # of the transition table
 _ARCS_BITS = 19
 _ARCS = 1 << _ARCS_BITS  # of the tree's arcs
 _ODD = 0x9E3779B97F4A7C15
@@ -140,11 +140,11 @@ class MergeAutomaton:
     def _allowed(self, left, right):
         """follows() of many pairs of ids, from a table addressed by a hash of the pair; a miss is worked out once."""
         keys = (left.astype(np.int64) << 32) | right
-        slot = ((keys * np.int64(-7046029254386353131)) >> np.int64(42)) & np.int64(_SLOTS - 1)
+        slot = ((keys * np.int64(-7046029254386353131)) >> np.int64(44)) & np.int64(_SLOTS - 1)
         miss = self._keys[slot] != keys
         if miss.any():
             labels, known, many = self.labels, self._known, np.unique(keys[miss])
-            for k, at in zip(many.tolist(), (((many * np.int64(-7046029254386353131)) >> np.int64(42)) & np.int64(_SLOTS - 1)).tolist(), strict=True):
+            for k, at in zip(many.tolist(), (((many * np.int64(-7046029254386353131)) >> np.int64(44)) & np.int64(_SLOTS - 1)).tolist(), strict=True):
                 self._keys[at], self._oks[at] = k, self._arc(labels[k >> 32], labels[k & 0xFFFFFFFF])
             ok = self._oks[slot]
             lost = np.flatnonzero(self._keys[slot] != keys)  # two of these pairs share a slot
@@ -391,7 +391,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         model = encoder(path)
         for batch in batches:
             column = batch.column(len(keep))
-            for first, last in slices(column, 4 << 20):
+            for first, last in slices(column, 2 << 20):
                 ids, where = model.encode(column.slice(first, last - first))
                 arrays = [batch.column(k).slice(first, last - first) for k in range(len(keep))]
                 arrays.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids)))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch
 
-SLOTS = 1 << 20
+SLOTS = 1 << 17
 PLACE = (1 << 31) - 1
 ROW = 1024  # cells that come to the driver in one row
 LONG = 30  # words over which a set has 128 parity bits

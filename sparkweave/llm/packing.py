@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
     def run(batches):
         model = bpe.encoder(path)
         for batch in batches:
-            for first, last in slices(batch.column(1), 4 << 20):
+            for first, last in slices(batch.column(1), 2 << 20):
                 keys = batch.column(0).slice(first, last - first).to_pylist()
                 coded, where = model.encode(batch.column(1).slice(first, last - first))
                 raw = memoryview(np.insert(coded, where[1:], END).astype("<i4").tobytes())
