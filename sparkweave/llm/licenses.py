@@ -163,9 +163,12 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Model of the templates and a bounded sample of the corpus's paragraphs (docs: text)."""
     rng = np.random.default_rng(params.seed)
     known = {w for ts in TEMPLATES.values() for t in ts for w in _words(t)}
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0).distinct()
-    drawn = lines.orderBy(F.xxhash64("line"), "line").limit(params.negatives).collect()
-    pool = sorted({w for r in drawn for w in _words(r.line)[:30]}) or ["text"]
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0)
+    # lines whose hash lies below a bound that leaves some four times as many as are drawn: only these are shuffled
+    count = lines.agg(F.approx_count_distinct(F.xxhash64("line"))).first()[0]
+    share = min(1.0, 4 * params.negatives / max(1, count))
+    drawn = lines.where(F.shiftrightunsigned(F.xxhash64("line"), 33) <= int(share * 2**31)).distinct().orderBy(F.xxhash64("line"), "line").limit(params.negatives).collect()
+    pool = sorted({w for r in drawn for w in _words(r.line)}) or ["text"]
     x, y = [], []
     for label, family in enumerate(FAMILIES[1:], 1):
         for template in TEMPLATES[family]:

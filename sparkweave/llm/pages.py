@@ -39,7 +39,8 @@ NAMES = re.compile(
     r"comment|comments|disqus|reply|replies|respond|cookie|cookies|consent|gdpr|notice|notices|banner|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")  # of a page with an open quote
 _ATTRIBUTE = re.compile(r"""(id|class|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
@@ -51,10 +52,10 @@ class Params:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "children", "parts", "noise", "main")
+    __slots__ = ("tag", "path", "children", "parts", "noise", "main", "within")
 
-    def __init__(self, tag, path, noise, main):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag, path, noise, main, within=False):
+        self.tag, self.path, self.noise, self.main, self.within = tag, path, noise, main, within or main
         self.children, self.parts = [], []  # tags of children; texts and nodes in page order
 
 
@@ -65,17 +66,33 @@ def _hash(text: str) -> str:
 def _parse(page: str) -> _Node:
     """The structural tree of a page; text stands in it with a space for each end of a block."""
     root = _Node("body", "body", False, False)
-    stack, at, low = [root], 0, None
+    stack, at, low, pattern = [root], 0, None, _TAG
+    opened: dict[str, int] = {}  # nodes on the stack by tag
     while at < len(page):
-        found = _TOKEN.search(page, at)
-        stop = found.start() if found else len(page)
+        start = page.find("<", at)
+        stop = start if start >= 0 else len(page)
         if stop > at:
             stack[-1].parts.append(entities.unescape(page[at:stop]))
-        if not found:
+        if start < 0:
             break
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag:
+        following = page[start + 1 : start + 2]
+        if following in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + (4 if comment else 2))
+            at = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        found = pattern.match(page, start)
+        if not found and (following.isalpha() or following == "/") and pattern is _TAG and _LOOSE.match(page, start):
+            pattern = _LOOSE
+            found = pattern.match(page, start)
+        if not found:
+            if following and page.find(">", start) < 0:  # no tag can follow
+                stack[-1].parts.append(entities.unescape(page[start:]))
+                break
+            stack[-1].parts.append("<")
+            at = start + 1
             continue
+        at, tag = found.end(), found[2].lower()
         here = stack[-1]
         if not found[1]:
             if tag in RAW:
@@ -90,13 +107,14 @@ def _parse(page: str) -> _Node:
                 here.parts.append(" " if tag not in INLINE else "")
                 continue
             if tag == "head":
-                node = _Node(tag, here.path, True, False)
+                node = _Node(tag, here.path, True, False, here.within)
                 here.parts.append(node)
                 stack.append(node)
+                opened[tag] = opened.get(tag, 0) + 1
                 continue
             if tag in ("body", "html"):
                 while len(stack) > 1 and stack[-1].tag == "head":
-                    stack.pop()
+                    opened[stack.pop().tag] -= 1
                 continue
             if tag not in INLINE:
                 here.parts.append(" ")
@@ -114,23 +132,24 @@ def _parse(page: str) -> _Node:
                         hidden = True
                 name = " ".join(names)
                 main = tag in MAIN or role in ("main", "article")
-                outside = not any(n.main for n in stack)
+                outside = not here.within
                 noise = tag in NOISE or hidden or (tag == "header" and outside) or (bool(NAMES.search(name)) and (not main or "comment" in name.lower())) or role in ("navigation", "banner", "contentinfo", "complementary", "search")
                 path = f"{here.path}/{tag}" + (f".{name.strip()}" if name.strip() else "")
-                node = _Node(tag, _hash(path), noise, main)
+                node = _Node(tag, _hash(path), noise, main, here.within)
                 here.parts.append(node)
                 stack.append(node)
+                opened[tag] = opened.get(tag, 0) + 1
         else:
             if tag not in INLINE:
                 here.parts.append(" ")
-            if any(n.tag == tag for n in stack[1:]):
+            if opened.get(tag):
                 while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+                    opened[stack.pop().tag] -= 1
+                opened[stack.pop().tag] -= 1
     return root
 
 
-def _text(node: _Node, dropped, raw: bool = False) -> str:
+def _text(node: _Node, dropped) -> str:
     out, todo = [], [iter(node.parts)]
     while todo:
         for part in todo[-1]:
@@ -138,7 +157,7 @@ def _text(node: _Node, dropped, raw: bool = False) -> str:
                 out.append(part)
                 continue
             out.append(" ")
-            if raw or not (part.noise or part.path in dropped):
+            if not (part.noise or part.path in dropped):
                 todo.append(iter(part.parts))
                 break
         else:
@@ -170,14 +189,23 @@ def main_text(page: str, dropped=frozenset()) -> str:
 
 
 def nodes_of(page: str) -> list[tuple[str, str, str]]:
-    """path, presentation and content of each structural node of a page."""
-    out, todo = [], [_parse(page or "")]
+    """path, presentation and content of each structural node of a page.
+
+    A node's content is put together from its own texts and the contents of its children, each by its hash, so that
+    the work is in proportion to the page, however deep it nests.
+    """
+    order, todo = [], [_parse(page or "")]
     while todo:
         node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if not isinstance(p, str)]
+    out, content = [], {}
+    for node in reversed(order):  # children come before their parents
+        parts = [" ".join(p.split()) if isinstance(p, str) else content[id(p)] for p in node.parts]
+        content[id(node)] = _hash("\n".join(p for p in parts if p)) if any(parts) else ""
         if node.path != "body":
             style = ",".join(t for k, t in enumerate(node.children) if not k or t != node.children[k - 1])
-            out.append((node.path, style, " ".join(_text(node, (), raw=True).split())))
-        todo += [p for p in node.parts if not isinstance(p, str)]
+            out.append((node.path, style, content[id(node)]))
     return out
 
 

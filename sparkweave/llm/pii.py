@@ -146,18 +146,23 @@ def text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores_of(spans: Column) -> Column:
+    """The score of each span in the order of text_of, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows and columns with each span replaced by its kind in brackets, such as [EMAIL].
+def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The same rows and columns with each span of a score of at least `least` replaced by its kind, such as [EMAIL].
 
     Overlapping spans are replaced as one, under the kind of the first. Null texts stay null.
     """
     columns = df.columns
     found = find(df, keep=columns, text=text)
-    order = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(F.filter("all", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     body = F.col(f"`{text}`")
 
     def step(a, s):

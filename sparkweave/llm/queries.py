@@ -59,7 +59,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS[: pii.BASE]]
-    return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("all").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("all").alias("spans"), pii.scores_of("all").alias("scores"))
 
 
 def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

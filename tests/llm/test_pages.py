@@ -45,3 +45,14 @@ def test_paths_are_whole():
     paths = [p for p, _, _ in pages.nodes_of(f"<section>{deep}{'</div>' * 12}</section><ol>{deep}{'</div>' * 12}</ol>")]
     assert len(paths) == len(set(paths)) == 26
     assert pages.main_text(f"<main>{deep}<article>a</article>{'</div>' * 12}</main><article>b</article>") == "a b"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 20000 + "x", "<a " * 30000, "<a \"" * 30001, "<p>" + "<" * 30000, "<!--" * 20000, "<div>a" * 8000 + "</div>" * 8000):
+        began = time.time()
+        pages.main_text(page)
+        pages.nodes_of(page)
+        assert time.time() - began < 5, page[:20]
+    assert pages.main_text("<p>1 < 2 <b class='x>y'>bold</b> <i title=\">\">it</i></p>") == "1 < 2 bold it"
