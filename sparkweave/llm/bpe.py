@@ -32,7 +32,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Entries that a worker remembers of words and of transitions. A full table takes no more: what
 #: came first is what is common, and the rest is worked out each time.
-MEMORY = 60_000
+MEMORY = 40_000
+MOST = 16_000  # words that step through the tables together
 _SLOTS = 1 << 18  # of the transition table
 _ARCS_BITS = 19
 _ARCS = 1 << _ARCS_BITS  # of the tree's arcs
@@ -164,6 +165,8 @@ class MergeAutomaton:
         All words step through the tables together: from each position, in order, along the letter tree, and where a
         label ends it becomes the one arc into that place if the transition from the label before it is allowed.
         """
+        if len(words) > MOST:  # a bound of the tables below
+            return [x for k in range(0, len(words), MOST) for x in self.encode_words(words[k : k + MOST], most)]
         out: list = [None] * len(words)
         whole = self.vocab
         for k, w in enumerate(words):
@@ -398,5 +401,6 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
                 if decode:
                     arrays.append(model.decode(ids, where))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", *["decoded"] * decode])
+            pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text)).mapInArrow(run, schema)
