@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import slices, texts_of
+from .bytehash import release, slices, texts_of
 
 #: What a vocabulary file must ask for: composed forms, lower case, no white space, and the pattern below. Fixed values.
 _NORMAL = ["NFC", "Replace", "Lowercase"]
@@ -32,7 +32,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Entries that a worker remembers of words and of transitions. A full table takes no more: what
 #: came first is what is common, and the rest is worked out each time.
-MEMORY = 40_000
+MEMORY = 100_000
 MOST = 16_000  # words that step through the tables together
 _SLOTS = 1 << 18  # of the transition table
 _ARCS_BITS = 19
@@ -377,7 +377,9 @@ class Encoder:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One compiled encoder for each vocabulary file and Python worker."""
-    return Encoder(path)
+    made = Encoder(path)
+    release()
+    return made
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decode: bool = False) -> DataFrame:
@@ -401,6 +403,6 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
                 if decode:
                     arrays.append(model.decode(ids, where))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", *["decoded"] * decode])
-            pa.default_memory_pool().release_unused()
+            release()
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(text)).mapInArrow(run, schema)

@@ -4,6 +4,9 @@ Everything works on the concatenated UTF-8 bytes of many texts, so the cost is a
 and no Python work per word. Hashes are 64 bits wide and do not depend on the platform, the batch or the process.
 """
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -12,6 +15,13 @@ _ODD = np.uint64(0xD1342543DE82EF95)
 _POWERS = np.array([1], dtype=np.uint64)
 
 
+def release():
+    """Gives memory that a worker no longer uses back to the machine; other stages run beside idle workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x):
     """Finaliser of splitmix64; a bijection of 64-bit integers."""
     x = np.asarray(x, dtype=np.uint64).copy()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import mix, shingles_of, slices
+from .bytehash import mix, release, shingles_of, slices
 from .components import components
 from .tables import Scratch
 
@@ -89,6 +89,7 @@ def _heads(batches):
             head = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(_signed(grams[take])))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (BITS // 64), pa.int32()), pa.array(_parity(grams, at).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bits, head], names=["doc", "n", "s1", "s2", "bits", "head"])
+        release()
 
 
 def _signatures(batches):

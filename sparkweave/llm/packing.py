@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .bytehash import slices
+from .bytehash import release, slices
 from .tables import Scratch
 
 CAPACITY = 4096
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
     def run(batches):
         model = bpe.encoder(path)
         for batch in batches:
-            for first, last in slices(batch.column(1)):
+            for first, last in slices(batch.column(1), 4 << 20):
                 keys = batch.column(0).slice(first, last - first).to_pylist()
                 coded, where = model.encode(batch.column(1).slice(first, last - first))
                 raw = memoryview(np.insert(coded, where[1:], END).astype("<i4").tobytes())
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
                     arrays.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-            pa.default_memory_pool().release_unused()
+            release()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
