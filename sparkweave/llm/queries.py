@@ -68,4 +68,11 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_media": op5_media, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
-ORACLE_SQL: dict[str, str] = {}
+#: Classes of near duplicates by all pairs that share a shingle. The other queries have no SQL form for all their columns
+#: (tokens, likelihoods, images, trees, packing, files of spans); their tests hold them against brute force.
+_JACCARD = """WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS one FROM g), p AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.one = b.one AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM p WHERE 100 * k >= 80 * (n + m - k)), r(doc_id, root) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.doc_id)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(root) AS component_id FROM g JOIN r USING (doc_id) GROUP BY doc_id"""
+ORACLE_SQL: dict[str, str] = {"op4_jaccard": _JACCARD}
