@@ -115,3 +115,32 @@ def test_rank_sum_without_ties(spark):
 
 def test_broken_stick():
     assert sum(express.broken_stick(5)) == pytest.approx(1.0)
+
+
+def test_triangle_places_come_back(spark):
+    from sparkweave.operators import merging
+
+    n = 41
+    df = spark.range(n * (n - 1) // 2)
+    i, j = merging.triangle_pair(F.col("id"), n)
+    got = sorted((r.id, r.i, r.j) for r in df.select("id", i.alias("i"), j.alias("j")).collect())
+    assert [(a, b) for _, a, b in got] == [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
+def test_eigenvector_centrality_converges(spark):
+    edges = [(0, 1, 0.9), (0, 2, -0.8), (1, 2, 0.5), (2, 3, 0.7)]
+    a = np.zeros((5, 5))
+    for i, j, r in edges:
+        a[i, j] = a[j, i] = abs(r)
+    want = np.abs(np.linalg.eigh(a)[1][:, -1])
+    df = spark.createDataFrame(edges, "gene_i long, gene_j long, r double")
+    got = {r.gene: r.centrality for r in graph.eigenvector_centrality(df, spark.range(5).toDF("gene"), tolerance=1e-9).collect()}
+    assert [got[k] for k in range(5)] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_power_choice(spark):
+    rows = [(1, 0.5, 200.0), (4, 0.92, 150.0), (6, 0.95, 80.0), (8, 0.97, 40.0)]
+    df = spark.createDataFrame(rows, "power long, fit double, mean_k double")
+    assert graph.pick_power(df) == 6
+    assert graph.pick_power(df.where("power in (1, 4)")) == 4
+    assert graph.pick_power(df.where("power = 1")) == 1
