@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, linedup, packing, pages, pii, quality, toxicity, webp
+from . import bpe, centroids, jaccard, licenses, linedup, packing, pages, pii, quality, toxicity, webp
 from .tables import Scratch, table, vocabulary
 
 
@@ -67,7 +67,11 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_media": op5_media, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_media": op5_media, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages, "op11_centroids": op11_centroids}
 #: Classes of near duplicates by all pairs that share a shingle. The other queries have no SQL form for all their columns
 #: (tokens, likelihoods, images, trees, packing, files of spans); their tests hold them against brute force.
 _JACCARD = """WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -75,4 +79,25 @@ g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS one FROM g), p AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.one = b.one AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT i, j FROM p WHERE 100 * k >= 80 * (n + m - k)), r(doc_id, root) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.doc_id)
 SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(root) AS component_id FROM g JOIN r USING (doc_id) GROUP BY doc_id"""
-ORACLE_SQL: dict[str, str] = {"op4_jaccard": _JACCARD}
+
+
+def _lloyd(rounds: int = 10, k: int = 8) -> str:
+    """Lloyd's rounds over all vectors, a pair of tables for each round."""
+    near = """SELECT r, any_value(vec_id) AS vec_id, any_value(q) AS q, min({{'d': d, 'c': c}}) AS m FROM
+(SELECT r, vec_id, v.q, c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - z.q[i]) * (v.q[i] - z.q[i])))::BIGINT AS d FROM v, c{0} z) GROUP BY r"""
+    mean = """SELECT c, coalesce(n.q, o.q) AS q FROM c{0} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS q FROM
+(SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (SELECT m.c AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{0}, range(1, 65) t(i) GROUP BY ALL)) GROUP BY c) n USING (c)"""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds):
+        parts += [f"a{i} AS MATERIALIZED ({near.format(i)})", f"c{i + 1} AS MATERIALIZED ({mean.format(i)})"]
+    parts.append(f"a AS MATERIALIZED ({near.format(rounds)})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(z.q, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY a.q) AS n_copies FROM a JOIN c{rounds} z ON z.c = a.m.c"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_jaccard": _JACCARD, "op11_centroids": _lloyd()}
