@@ -1,9 +1,11 @@
 """The queries of this subpackage: each applies one operator to its whole table and returns the agreed columns."""
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, jaccard, licenses, linedup, packing, pages, pii, quality, toxicity, webp
+from . import bpe, centroids, jaccard, licenses, linedup, packing, pages, periods, pii, quality, simhash, toxicity, webp
 from .tables import Scratch, table, vocabulary
 
 
@@ -71,7 +73,32 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_media": op5_media, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages, "op11_centroids": op11_centroids}
+def _repeated(words: list, ident: int | None) -> list:
+    """The agreed texts with a planted period: one in ten by the checksum of its id; none without an id."""
+    check = zlib.crc32(str(ident).encode())
+    if ident is None or check % 10 or not words:
+        return words
+    g, n = check // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find(table(spark, sf_dir, "documents"), rewrite=_repeated)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, period = (-F.col("most.start")).alias("start"), (-F.col("most.period")).alias("period")
+    milli = F.expr("1000 * most.length div -most.period").alias("exponent_milli")
+    return best.select("doc_id", "n_runs", start, F.col("most.length").alias("length"), period, milli, "runs_sha256", "collapsed_sha256")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_media": op5_media, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_pages": op10_pages, "op11_centroids": op11_centroids, "op12_periods": op12_periods, "op13_simhash": op13_simhash}
 #: Classes of near duplicates by all pairs that share a shingle. The other queries have no SQL form for all their columns
 #: (tokens, likelihoods, images, trees, packing, files of spans); their tests hold them against brute force.
 _JACCARD = """WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
