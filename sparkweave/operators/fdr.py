@@ -20,7 +20,8 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str, *by: str) -> DataFrame:
     keyed = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     counts = rows.where(F.col(p).isNotNull()).groupBy(*by, cell).agg(F.count("*").alias("__n"))
     counts = counts.select(*by, cell, F.sum("__n").over(keyed).alias("__m"), (F.sum("__n").over(keyed.orderBy(cell).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    own = W.partitionBy(*by, cell)
+    rows = rows.withColumn("__part", F.when(F.col(p) == 0, F.pmod(F.monotonically_increasing_id(), F.lit(CELLS))).otherwise(0))  # q of p = 0 is 0 at any rank
+    own = W.partitionBy(*by, cell, "__part")
     joined = rows.join(F.broadcast(counts) if not by else counts, [*by, cell], "left")
     ranked = joined.withColumn("__rank", F.col("__before") + F.row_number().over(own.orderBy(p)))
     ranked = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
