@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .tables import Scratch
 
 SLOTS = 1 << 17
@@ -183,6 +184,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def _without(joined: DataFrame, columns: list[str]) -> DataFrame:
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
+    kept = F.array_join(let(F.split("text", "\n"), left), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])

@@ -9,12 +9,15 @@ the kind's own weight and rises if a context word stands within 40 code points b
 
 Separators inside numbers and domains are first replaced, one for one, by private-use marks, so that every pattern is
 a plain character run: no pattern can recurse or backtrack over long texts. Null texts count as empty and have no
-spans; empty and repeated texts get equal rows; columns other than those kept are not read.
+spans; empty and repeated texts get equal rows; columns other than those kept are not read. Time grows in proportion to a
+text and its spans.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import chunks, let, scan
+
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = 4  # of them have base spans
 _JOIN, _DOT = "", ""
@@ -32,7 +35,8 @@ _IBAN = {
     28: "AL AZ BY CI CY DO GT HU LB ML NE NI PL SN SV HN MA YE", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _IBANS = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in _IBAN.items())
-_SPAN = "array<struct<start:int,end:int,score:double>>"
+_ONE = "struct<start:int,end:int,score:double>"
+_SPAN = f"array<{_ONE}>"
 
 
 def _digits(c: Column) -> Column:
@@ -95,20 +99,39 @@ def _spans(kind: str, base: bool, text: Column) -> Column:
     marked = _marked(kind, base, text)
     found = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
     gaps = F.split(marked, pattern, -1)
-    both = F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("hit")))
+    both = let(found, lambda f: F.zip_with(F.slice(gaps, 1, F.size(f)), f, lambda g, m: F.struct(g.alias("gap"), m.alias("hit"))))
 
-    def step(a, x):
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+    def emit(at, x):
+        start = at + F.length(x["gap"])
         near = F.lower(F.right(x["gap"], F.lit(40))).rlike(f"(?:{_CONTEXT[kind]})")
         score = F.when(near, F.lit(min(1.0, _WEIGHT[kind] + 0.1))).otherwise(F.lit(_WEIGHT[kind]))
         good = check(x["hit"]) if check else F.lit(True)
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), score.alias("score"))).cast(_SPAN)
-        return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+        span = F.array(F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), score.alias("score"))).cast(_SPAN)
+        return F.when(good, span).otherwise(F.array().cast(_SPAN))
+
+    after = lambda at, x: at + F.length(x["gap"]) + F.length(x["hit"])
+    out = scan(both, F.lit(0), after, emit, _ONE)
+    return F.when(test(text), out).otherwise(F.array().cast(_SPAN))
+
+
+def _apart(spans: Column, own: Column) -> Column:
+    """Those spans that overlap none of own; both are in order and free of overlaps of their own.
 
-    none = F.array().cast(_SPAN)
-    out = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(test(text), out).otherwise(none)
+    Walked from either end: on the way up a span must start at or behind the end of the last own one, on the way down it
+    must end at or before the start of the next own one.
+    """
+    tag = lambda a, t: F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(t).alias("own"), s["end"].alias("end"), s["score"].alias("score")))
+    kind, none = "struct<start:int,own:int,end:int,score:double>", F.array().cast("array<struct<start:int,own:int,end:int,score:double>>")
+
+    def walk(items, start, at, clear):
+        return scan(items, F.lit(start), lambda s, x: F.when(x["own"] == 1, at(s, x)).otherwise(s), lambda s, x: F.when((x["own"] == 1) | clear(s, x), F.array(x)).otherwise(none), kind)
+
+    # at one start the own span comes first on the way up, and so last on the way down
+    every = F.array_sort(F.concat(tag(own, 1), tag(spans, 2)))
+    up = walk(every, 0, lambda s, x: F.greatest(s, x["end"]), lambda s, x: x["start"] >= s)
+    down = walk(F.reverse(up), (1 << 31) - 1, lambda s, x: F.least(s, x["start"]), lambda s, x: x["end"] <= s)
+    left = F.filter(F.reverse(down), lambda x: x["own"] == 2)
+    return F.when((F.size(spans) == 0) | (F.size(own) == 0), spans).otherwise(F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"))))
 
 
 def find(df: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -127,15 +150,12 @@ def find(df: DataFrame, keep: list[str] | None = None, text: str = "text") -> Da
     def named(kind, spans):
         return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
 
-    def apart(spans, own):
-        return F.filter(spans, lambda s: ~F.exists(own, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-
     base = [named(kind, F.col(name(kind, True))) for kind in KINDS[:BASE]]
     every = []
     for kind in KINDS:
         own = F.col(name(kind, True)) if (kind, True) in rules else F.array().cast(_SPAN)
         if (kind, False) in rules:
-            new = apart(F.col(name(kind, False)), own)
+            new = _apart(F.col(name(kind, False)), own)
             own = F.array_sort(F.concat(own, new)) if kind in KINDS[:BASE] else new
         every.append(named(kind, own))
     return out.select(*keep, F.concat(*base).alias("base"), F.concat(*every).alias("all"))
@@ -165,12 +185,16 @@ def redact(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     order = F.array_sort(F.transform(F.filter("all", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     body = F.col(f"`{text}`")
 
-    def step(a, s):
-        piece = F.concat(a["out"], body.substr(a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        later = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(later, piece).otherwise(a["out"]).alias("out"))
+    part, none = "struct<from:int,to:int,kind:string>", F.array().cast("array<struct<from:int,to:int,kind:string>>")
+    pieces = scan(order, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(s["start"] >= at, F.array(F.struct(at.alias("from"), s["start"].alias("to"), F.upper(s["kind"]).alias("kind")))).otherwise(none), part)
+
+    def joined(c):
+        """The text of a chunk's pieces, cut out of the text once and then each out of that."""
+        first = F.get(c, F.lit(0))["from"]
+        region = body.substr(first + 1, F.get(c, F.size(c) - 1)["to"] - first)
+        return let(region, lambda r: F.array_join(F.transform(c, lambda p: F.concat(r.substr(p["from"] - first + 1, p["to"] - p["from"]), F.lit("["), p["kind"], F.lit("]"))), ""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(order, start, step, lambda a: F.concat(a["out"], body.substr(a["at"] + 1, F.length(body))))
+    tail = body.substr(F.array_max(F.transform(order, lambda s: s["end"])) + 1, F.length(body))
+    clean = F.when(F.size(order) == 0, body).otherwise(F.concat(F.array_join(F.transform(let(pieces, chunks), joined), ""), tail))
     new = F.when(F.size("all") > 0, clean).otherwise(body)
     return found.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
