@@ -14,6 +14,11 @@ def average_rank(value: str, *by: str, descending: bool = False) -> Column:
     return F.when(F.col(value).isNotNull(), F.rank().over(W.partitionBy(*by).orderBy(order)) + (ties - 1) / 2)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation; null where either side has no spread (the built-in one fails there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def z_score(value: Column | str, *by: str) -> Column:
     """(x - mean) / sd with n - 1; null if the spread is 0."""
     v = F.col(value) if isinstance(value, str) else value
