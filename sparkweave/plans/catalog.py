@@ -29,7 +29,7 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
 
 
 def r6(x: str, d: int = 6) -> str:
-    return f"round(({x})::DOUBLE, {d})"
+    return f"(round(({x})::DOUBLE, {d}) + 0)"  # never minus zero
 
 
 EXPR = "expr AS (SELECT vec_id AS g, label, unnest(range(len(embedding)))::BIGINT AS s, unnest(embedding)::DOUBLE AS v FROM embeddings)"
