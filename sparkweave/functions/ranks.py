@@ -40,11 +40,14 @@ def mad(values: Column) -> Column:
 
 
 def drawn(seed: int, *keys: Column) -> Column:
-    """Whole number below 2**31 - 1 from integer keys: plain arithmetic, so that any engine can repeat it."""
+    """Whole number below 2**31 - 1 from integer keys: plain arithmetic, so that any engine can repeat it.
+
+    The square keeps orders by this number from being rotations of each other.
+    """
     h = F.lit(seed % 2147483647).cast("long")
     for k in keys:
         h = (h * 48271 + k.cast("long") * 16807 + 12345) % 2147483647
-        h = (h * 69621) % 2147483647
+        h = (h * h + h * 69621) % 2147483647
     return h
 
 
@@ -52,5 +55,6 @@ def drawn_sql(seed: int, *keys: str) -> str:
     """drawn() as SQL text."""
     h = f"({seed % 2147483647})::BIGINT"
     for k in keys:
-        h = f"((({h} * 48271 + ({k})::BIGINT * 16807 + 12345) % 2147483647) * 69621) % 2147483647"
+        h = f"(({h} * 48271 + ({k})::BIGINT * 16807 + 12345) % 2147483647)"
+        h = f"(({h} * {h} + {h} * 69621) % 2147483647)"
     return f"({h})"

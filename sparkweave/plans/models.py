@@ -6,7 +6,7 @@ against a plain version.
 
 from pyspark.sql import functions as F
 
-from sparkweave.operators import counts, diffnet, express, graph, keyed, modules, negbin, pairs, paths
+from sparkweave.operators import counts, diffnet, enrich, express, graph, keyed, modules, negbin, pairs, paths, resample
 from sparkweave.sources.matrix import from_embeddings
 
 from .catalog import EXPR, NET, ORACLE_SQL, QUERIES, SPLIT, P, _net, normal_sql, query, r6, rounded, t_sql, with_q
@@ -233,3 +233,26 @@ def module_preservation(spark, sf_dir):
     long = from_embeddings(spark, sf_dir)
     one, two = pairs.rank_vectors(long.where("sample < 32")), pairs.rank_vectors(long.where("sample >= 32"))
     return modules.preservation(one, two, long.select("gene", (F.col("label") + 1).alias("module")).distinct(), permutations=100)
+
+
+# ---- permutations --------------------------------------------------------------------------------------------------
+@query()
+def focus_permutations(spark, sf_dir):
+    """Eight metrics of the first six features' rows against 100 permutations each."""
+    refs = _references(spark, sf_dir).withColumnRenamed("ref_gene", "focus")
+    return resample.network_permutations(from_embeddings(spark, sf_dir), refs, 100, P)
+
+
+@query()
+def variability_permutations(spark, sf_dir):
+    """Shifts of variability of the first six features against 100 permutations each."""
+    refs = _references(spark, sf_dir).withColumnRenamed("ref_gene", "focus")
+    return resample.variability_permutations(from_embeddings(spark, sf_dir), refs, 100)
+
+
+@query()
+def term_set_enrichment(spark, sf_dir):
+    """Enrichment of brands along the parts' prices, with a null of random sets."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    ranked = p.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400).alias("score"))
+    return enrich.set_enrichment(ranked, p.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene")), permutations=200)
