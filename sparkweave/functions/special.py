@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BETA_LEVELS = 48  # of the continued fraction of the incomplete beta function, where it is used
-NORMAL_LEVELS = 70
+NORMAL_TERMS, NORMAL_LEVELS = 40, 30  # of the series up to NEAR, and of the continued fraction beyond
 NEAR = 3.0  # standard deviations up to which the normal tail is 1 - series
 
 
@@ -141,7 +141,7 @@ def normal_tail(z):
     z = np.abs(np.asarray(z, dtype=float))
     near = np.minimum(z, NEAR)
     x2, inner = near * near, np.ones_like(z)
-    for k in range(75, 0, -1):
+    for k in range(NORMAL_TERMS, 0, -1):
         inner = 1 + inner * x2 / (2 * k + 1)
     middle = 1 - math.sqrt(2 / math.pi) * near * np.exp(-x2 / 2) * inner
     far = np.maximum(z, NEAR)
@@ -157,7 +157,7 @@ def normal_two_sided(z: Column) -> Column:
     """Two-sided p of a standard normal statistic."""
     x2 = z * z
     inner = F.lit(1.0)
-    for k in range(75, 0, -1):
+    for k in range(NORMAL_TERMS, 0, -1):
         inner = F.lit(1.0) + inner * x2 / F.lit(float(2 * k + 1))
     middle = F.greatest(F.lit(0.0), 1 - math.sqrt(2 / math.pi) * F.abs(z) * F.exp(-x2 / 2) * inner)
     fraction = F.lit(1.0)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sparkweave.functions.ranks import MAD_SCALE, average_rank, mad
 from sparkweave.functions.special import chi_square_4, fisher_two_sided, hypergeometric_greater, normal_two_sided, odds_ratio
+from sparkweave.sources.scratch import checkpointed
 
 
 def gene_statistics(long: DataFrame) -> DataFrame:
@@ -215,15 +216,12 @@ def enrichment(genes: DataFrame, terms: DataFrame, least: int = 10, most: int =
 
 
 def running_score(ranked: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, enrichment score: the largest deviation of the weighted running sum along the ranking (gene, score)."""
-    n = ranked.count()
-    order = ranked.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "gene")))
-    hits = terms.join(order, "gene")
-    w = W.partitionBy("term")
-    h = hits.select("term", "pos", (F.sum(F.abs("score")).over(w.orderBy("pos")) / F.sum(F.abs("score")).over(w)).alias("up"), F.row_number().over(w.orderBy("pos")).alias("k"), F.count("*").over(w).alias("m"), F.abs("score").alias("a"), F.sum(F.abs("score")).over(w).alias("total"))
-    down = (F.col("pos") - F.col("k")) / (n - F.col("m"))
-    points = h.select("term", F.explode(F.array(F.col("up") - down, F.col("up") - F.col("a") / F.col("total") - down)).alias("d"))
-    return points.groupBy("term").agg(F.max_by("d", F.abs(F.round("d", 9))).alias("score"))
+    """term, score: the largest deviation of the weighted running sum along the ranking (gene, score)."""
+    from . import enrich
+
+    order = checkpointed(enrich.positions(ranked))
+    found = enrich.running_scores(terms.select("term", "gene").distinct().join(order, "gene").select("term", "pos", "score"), order.count(), "term")
+    return found.select("term", F.col("es").alias("score"))
 
 
 def linear_models(long: DataFrame, design: dict[int, list[float]], tested: int) -> DataFrame:

@@ -437,22 +437,36 @@ def fisher_tests(spark, sf_dir):
     return t.withColumns({"p": express.fisher_p("a", "b", "c", "d"), "odds_mle": express.fisher_odds("a", "b", "c", "d")})
 
 
-@query()
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma(({n} + 1)::DOUBLE) - lgamma(({k} + 1)::DOUBLE) - lgamma(({n} - {k} + 1)::DOUBLE))"
+
+
+@query(f"""WITH t AS (SELECT p_brand AS term, p_partkey AS gene FROM part), mine AS (SELECT DISTINCT l_partkey AS gene FROM lineitem SEMI JOIN t ON gene = l_partkey WHERE l_quantity >= 49),
+c AS (SELECT term, count(DISTINCT t.gene) AS size, count(m.gene) AS hits, (SELECT count(DISTINCT gene) FROM t) AS total, (SELECT count(*) FROM mine) AS drawn FROM t LEFT JOIN mine m ON m.gene = t.gene GROUP BY term HAVING count(DISTINCT t.gene) >= 5),
+k AS (SELECT *, unnest(range(greatest(hits, drawn + size - total, 0), least(drawn, size) + 1)) AS k FROM c),
+x AS (SELECT term, size, hits, least(1, sum(exp({_choose('size', 'k')} + {_choose('(total - size)', '(drawn - k)')} - {_choose('total', 'drawn')}))) AS p FROM k GROUP BY term, size, hits), {with_q('y', 'x', ['p'])}
+SELECT term, size, hits, {r6('p')} AS p, {r6('q')} AS q FROM y""")
 def term_enrichment(spark, sf_dir):
     terms = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
     genes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 49").select(F.col("l_partkey").alias("gene"))
-    return express.enrichment(genes, terms, 5, 10_000_000)
+    return rounded(express.enrichment(genes, terms, 5, 10_000_000))
 
 
-@query()
+@query(f"""WITH o AS (SELECT p_brand AS term, p_retailprice AS score, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS pos, count(*) OVER () AS n FROM part),
+h AS (SELECT *, score / sum(score) OVER (PARTITION BY term) AS up, sum(score) OVER (PARTITION BY term ORDER BY pos) / sum(score) OVER (PARTITION BY term) AS run, row_number() OVER (PARTITION BY term ORDER BY pos) AS k, count(*) OVER (PARTITION BY term) AS m FROM o),
+d AS (SELECT term, max(run - (pos - k) / (n - m)) AS top, min(run - up - (pos - k) / (n - m)) AS bottom FROM h GROUP BY term)
+SELECT term, {r6('CASE WHEN round(top, 12) >= round(-bottom, 12) THEN top ELSE bottom END')} AS score FROM d""")
 def term_running_scores(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return express.running_score(p.select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("score")), p.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene")))
+    return rounded(express.running_score(p.select(F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("score")), p.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))))
 
 
-@query()
+# both halves of a design of two balanced contrasts are orthogonal, so the fit has a closed form
+@query(f"""WITH {EXPR}, m AS (SELECT g, avg(v) FILTER (s % 2 = 1) - avg(v) FILTER (s % 2 = 0) AS b, avg(v) FILTER (s >= 32) - avg(v) FILTER (s < 32) AS c, var_pop(v) * 64 AS total FROM expr GROUP BY g),
+e AS (SELECT g, b, sqrt((total - 16 * b * b - 16 * c * c) / 61 / 16) AS se FROM m)
+SELECT g AS gene, {r6('b')} AS coefficient, {r6('se')} AS se, {r6('b / se')} AS t, 61 AS df FROM e""")
 def linear_model_coefficients(spark, sf_dir):
-    return express.linear_models(from_embeddings(spark, sf_dir), {s: [1.0, float(s % 2), float(s >= 32)] for s in range(64)}, 1)
+    return rounded(express.linear_models(from_embeddings(spark, sf_dir), {s: [1.0, float(s % 2), float(s >= 32)] for s in range(64)}, 1))
 
 
 @query()
