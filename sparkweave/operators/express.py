@@ -273,7 +273,7 @@ def feature_tests(features: DataFrame, covariates: DataFrame, key: str, n: int)
     from .diffnet import test_angle
 
     tall = lambda df, name, value: df.unpivot(key, [F.col(c).cast("double").alias(c) for c in df.columns if c != key], name, value)
-    both = tall(features, "feature", "x").join(F.broadcast(tall(covariates, "covariate", "y")), key).where("x is not null and y is not null")
+    both = tall(features, "feature", "x").join(tall(covariates, "covariate", "y"), key).where("x is not null and y is not null")
     keys = ["feature", "covariate"]
     ranked = both.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r")).withColumn("__a", test_angle(F.col("r"), n))

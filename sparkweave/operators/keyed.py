@@ -254,3 +254,54 @@ def parse_focus(spec: str, genes: DataFrame, scores: DataFrame | None = None) ->
     if found.count() != len(ids):
         raise ValueError(f"unknown features in {spec!r}")
     return found
+
+
+def _masked_z(x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """z-scored average ranks of each row over the places that are on; 0 elsewhere, NaN rows without spread."""
+    n = x.shape[1]
+    v = np.where(on, x, np.inf)
+    order = np.argsort(v, axis=1, kind="stable")
+    s = np.take_along_axis(v, order, axis=1)
+    new = np.ones(s.shape, bool)
+    new[:, 1:] = s[:, 1:] != s[:, :-1]
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    last = np.minimum.accumulate(np.where(np.concatenate([new[:, 1:], np.ones((len(x), 1), bool)], axis=1), at, n - 1)[:, ::-1], axis=1)[:, ::-1]
+    rank = np.empty(s.shape)
+    np.put_along_axis(rank, order, (first + last) / 2 + 1, axis=1)
+    count = on.sum(axis=1, keepdims=True)
+    rank = np.where(on, rank - (count + 1) / 2, 0)
+    norm = np.sqrt((rank * rank).sum(axis=1, keepdims=True))
+    return rank / np.where(norm > 0, norm, np.nan)
+
+
+def pairwise_complete(one: DataFrame, two: DataFrame, block: int = 128, least: int = 3) -> DataFrame:
+    """a, b, n, r of every feature of one with every feature of two (long form), over the samples where both have values.
+
+    Ranks are taken anew for each pair among its complete samples. r is null below `least` of them or without spread.
+    Both matrices must name the same samples; a group holds a block of each.
+    """
+    left, right = wide(one), wide(two)
+    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda n: F.pmod(F.xxhash64("gene"), F.lit(n)).cast("int")
+    x = left.withColumn("i", number(n_left)).withColumn("j", every(n_right))
+    y = right.withColumn("j", number(n_right)).withColumn("i", every(n_left))
+
+    def run(key, p, q):
+        out: list = [[], [], [], []]
+        if p.num_rows and q.num_rows:
+            if p.column("samples")[0] != q.column("samples")[0]:
+                raise ValueError("both matrices must have the same samples")
+            v = [t.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (p, q)]
+            b = q.column("gene").to_numpy()
+            for a, row in zip(p.column("gene").to_pylist(), v[0], strict=True):
+                on = ~np.isnan(row)[None, :] & ~np.isnan(v[1])
+                r = (_masked_z(np.broadcast_to(row, on.shape), on) * _masked_z(v[1], on)).sum(axis=1)
+                count = on.sum(axis=1)
+                for store, values in zip(out, (np.full(len(b), a), b, count, np.where(count >= least, np.clip(r, -1, 1), np.nan)), strict=True):
+                    store.append(values)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(np.concatenate(c) if c else np.zeros(0), k, from_pandas=True) for n, c, k in zip(("a", "b", "n", "r"), out, kinds, strict=True)})
+
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(run, "a long, b long, n long, r double")
