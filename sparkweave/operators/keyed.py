@@ -281,7 +281,7 @@ def pairwise_complete(one: DataFrame, two: DataFrame, block: int = 128, least: i
     Ranks are taken anew for each pair among its complete samples. r is null below `least` of them or without spread.
     Both matrices must name the same samples; a group holds a block of each.
     """
-    left, right = wide(one), wide(two)
+    left, right = checkpointed(wide(one)), checkpointed(wide(two))  # both may come from one table
     n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     number = lambda n: F.pmod(F.xxhash64("gene"), F.lit(n)).cast("int")

@@ -256,3 +256,14 @@ def term_set_enrichment(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     ranked = p.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400).alias("score"))
     return enrich.set_enrichment(ranked, p.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene")), permutations=200)
+
+
+# ---- rank correlation with missing values --------------------------------------------------------------------------
+@query(f"""WITH {EXPR}, x AS (SELECT g, label, s, CASE WHEN abs(v) <= 0.2 THEN v END AS v FROM expr),
+p AS (SELECT a.g AS a, b.g AS b, a.v AS x, b.v AS y FROM x a JOIN x b USING (s) WHERE a.label = 0 AND b.label = 1 AND a.v IS NOT NULL AND b.v IS NOT NULL),
+r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0::DOUBLE AS y FROM p)
+SELECT a, b, count(*) AS n, {r6('corr(x, y)')} AS r FROM r GROUP BY a, b""")
+def pairwise_complete(spark, sf_dir):
+    """Features of label 0 against those of label 1; values beyond 0.2 count as missing."""
+    long = from_embeddings(spark, sf_dir).withColumn("value", F.when(F.abs("value") <= 0.2, F.col("value")))
+    return rounded(keyed.pairwise_complete(long.where("label = 0"), long.where("label = 1")))

@@ -37,3 +37,9 @@ def test_power_centrality(spark, exponent):
         want /= np.sqrt((want**2).mean())
         got = {r.gene: r.power for r in graph.power_centrality(edges, nodes, exponent, weight).collect()}
         assert [got[g] for g in range(6)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_both_sides_from_one_table(spark):
+    long = spark.createDataFrame([(g, s, float((g * 7 + s * s * 3) % 11)) for g in range(4) for s in range(9)], "gene long, sample int, value double")
+    got = {(r.a, r.b): r.r for r in keyed.pairwise_complete(long.where("gene < 2"), long.where("gene >= 1")).collect()}
+    assert len(got) == 6 and got[1, 1] == pytest.approx(1.0)
