@@ -31,6 +31,11 @@ def counts_per_million(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     return counts.join(sizes, "sample").select("gene", "sample", (F.try_divide("n", "size") * 1e6).alias("cpm"))
 
 
+def log_counts(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """gene, sample, value: log2 of counts a million, with half a count and one read added; sizes: sample, size (scaled, if wished)."""
+    return counts.join(sizes, "sample").select("gene", "sample", F.log2((F.col("n") + 0.5) / (F.col("size") + 1) * 1e6).alias("value"))
+
+
 def median_ratio_sizes(counts: DataFrame) -> DataFrame:
     """sample, size: median ratio of a sample's counts to the geometric means of the genes that all samples have."""
     w = W.partitionBy("gene")
@@ -216,6 +221,33 @@ def _fits(x: np.ndarray, size: np.ndarray, knots: list | None):
     return run
 
 
+def without_effects(values: DataFrame, model: Design, *factors: str) -> DataFrame:
+    """gene, sample, value: values (gene, sample, value) less what least squares of the model give to the columns of the factors.
+
+    Columns of a summed factor average to 0 over its levels, so the level of a feature stays, and so does what the model's
+    other columns explain. The effects are one matrix of samples by samples, made once; features lacking a sample are left out.
+    """
+    own = [k for k, name in enumerate(model.names) if any(name == f or (name.startswith(f) and name[len(f) :].isdigit()) for f in factors)]
+    if not own:
+        raise ValueError(f"the model has no column of {factors}")
+    x = model.matrix
+    effect = (x @ np.linalg.inv(x.T @ x))[:, own] @ x[:, own].T
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = matrix_of(batch)
+            left = y - y @ effect
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1) * left.shape[1], pa.int32()), pa.array(left.ravel()))
+            yield pa.record_batch([batch.column("gene"), lists], ["gene", "y"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema}
+    place = values.sparkSession.createDataFrame(list(enumerate(model.samples)), f"pos int, sample {kinds['sample']}")  # samples
+    packed = arrays(values, model.samples, "value").mapInArrow(run, f"gene {kinds['gene']}, y array<double>")
+    return packed.select("gene", F.posexplode("y").alias("pos", "value")).join(F.broadcast(place), "pos").select("gene", "sample", "value")
+
+
 def variance_prior(fits: DataFrame, df: int) -> tuple[float, float]:
     """Degrees of freedom and variance of the prior that a scaled F distribution of the genes' variances gives."""
     z = 2 * F.log("sigma")

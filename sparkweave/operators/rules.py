@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkweave.functions.ranks import drawn
+
 
 def hard_threshold(x: Column, cut: float) -> Column:
     """Values at or below the cut become 0."""
@@ -124,3 +126,16 @@ def first_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
 def top_of_each(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
     """df with rank, its first n rows of each key."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def subset(names: DataFrame, n: int, required: DataFrame, seed: int) -> DataFrame:
+    """gene: all required ones among names (gene, whole numbers), and of the others as many as n leaves, in a seeded order."""
+    every = names.select("gene").distinct()
+    own = every.join(required.select("gene").distinct(), "gene", "left_semi")
+    rest = every.join(required.select("gene"), "gene", "left_anti")
+    return own.union(rest.orderBy(drawn(seed, F.col("gene")), "gene").limit(max(0, n - own.count())))
+
+
+def gained(control: Column, treated: Column) -> Column:
+    """The treated value where it is the larger, else 0; null if either is missing."""
+    return F.when(treated > control, treated).when(control.isNotNull() & treated.isNotNull(), 0.0)

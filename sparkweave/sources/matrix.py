@@ -17,20 +17,37 @@ def read_wide(spark: SparkSession, path: str, sep: str = "\t", offset_header: bo
     """gene_id, sample_id, value of a delimited matrix whose first column is the feature id.
 
     offset_header: the header names the samples only and so has one field less than the body. An empty or unnamed first
-    header field is taken as the id. Values that are no numbers, and NaN, become null.
+    header field is taken as the id. Values that are no numbers, and NaN, become null. The first line of each file is its
+    header, so a row may be called like it; sample names must differ.
     """
-    with_names = spark.read.option("sep", sep).option("header", False)
     first = spark.read.text(path).first()
     header = (first[0] if first else "").split(sep)
     names = ["gene_id", *(header if offset_header else header[1:])]
     schema = T.StructType([T.StructField(n or f"V{k}", T.StringType()) for k, n in enumerate(names)])
-    body = with_names.schema(schema).csv(path).where(F.col(names[0]) != F.lit(header[0]))
+    if len(set(names)) < len(names):
+        raise ValueError("sample names are repeated")
+    body = spark.read.option("sep", sep).option("header", True).schema(schema).csv(path)
     samples = names[1:]
     value = F.expr("try_cast(raw as double)")
     long = body.unpivot("gene_id", samples, "sample_id", "raw") if samples else spark.createDataFrame([], "gene_id string, sample_id string, raw string")
     return long.select("gene_id", "sample_id", F.when(~F.isnan(value), value).alias("value"))
 
 
+def check_shape(long: DataFrame, genes: int | None = None, samples: int | None = None) -> DataFrame:
+    """The matrix (gene_id, sample_id, value) if each feature has one value or null a sample; else an error that says what is off.
+
+    genes, samples: the counts to be met, where they are known.
+    """
+    per = long.groupBy("gene_id").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("k"))
+    s = per.agg(F.count("*").alias("genes"), F.min("k").alias("least"), F.max("k").alias("most"), F.max(F.col("n") - F.col("k")).alias("twice")).first()
+    found = long.agg(F.count_distinct("sample_id")).first()[0]
+    if s.genes and (s.twice or s.least != s.most or s.most != found):
+        raise ValueError(f"features have {s.least} to {s.most} of {found} samples, and up to {s.twice} repeated values")
+    if genes not in (None, s.genes) or samples not in (None, found):
+        raise ValueError(f"{s.genes} features and {found} samples found, {genes} and {samples} expected")
+    return long
+
+
 def sample_names(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
     """Sample names from the header alone."""
     first = spark.read.text(path).first()
@@ -58,6 +75,19 @@ def write_by_reference(df: DataFrame, path: str, key: str = "ref_gene") -> None:
     df.write.mode("errorifexists").partitionBy(key).option("compression", "zstd").parquet(path)
 
 
+def read_references(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """All references of such a folder in one read; unreadable files are an error or, if so wished, left out with a warning."""
+    return spark.read.option("ignoreCorruptFiles", skip_unreadable).parquet(path)
+
+
+def read_reference(spark: SparkSession, path: str, value, key: str = "ref_gene") -> DataFrame:
+    """The rows of one reference; only its folder is opened. A reference that is not there is an error."""
+    own = read_references(spark, path).where(F.col(key) == F.lit(value))
+    if own.isEmpty():
+        raise ValueError(f"no {key} {value!r} in {path}")
+    return own
+
+
 def to_wide(df: DataFrame, gene: str = "gene_id", sample: str = "sample_id", value: str = "value") -> DataFrame:
     return df.groupBy(gene).pivot(sample).agg(F.first(value))
 
