@@ -7,12 +7,13 @@ above those the adjective, the noun and the type; above all the root.
 from pyspark.sql import functions as F
 
 from sparkweave.functions.ranks import drawn_sql
-from sparkweave.operators import counts, ontology, pairs, rules, sets
+from sparkweave.operators import counts, keyed, ontology, pairs, rules, sets
 from sparkweave.sources import export
 from sparkweave.sources.matrix import from_embeddings
+from sparkweave.sources.scratch import checkpointed
 
 from .catalog import EXPR, ORACLE_SQL, QUERIES, P, query, r6, rounded, z_sql
-from .models import COUNTS, DEGREES, KEYED, _counts, _focus_degrees, _keyed
+from .models import COUNTS, DEGREES, KEYED, _counts, _keyed
 
 # ---- terms ---------------------------------------------------------------------------------------------------------
 TERMS = """parts AS (SELECT p_partkey AS gene, p_size, p_name AS nm, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_type AS ty FROM part),
@@ -90,6 +91,14 @@ def batch_free_log_counts(spark, sf_dir):
 
 
 # ---- exports -------------------------------------------------------------------------------------------------------
+def _network_and_degrees(spark, sf_dir):
+    """Both from one computation of the networks."""
+    refs, net = _keyed(spark, sf_dir)
+    net = checkpointed(net)
+    genes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("focus"))
+    return net, checkpointed(keyed.focus_degrees(net, genes.crossJoin(F.broadcast(refs)), P.threshold))
+
+
 @query(f"""WITH {KEYED}, x AS (SELECT ref_gene, 'low' AS net, gene_i, gene_j, r_low AS r FROM kn WHERE abs(r_low) >= 0.1 UNION ALL SELECT ref_gene, 'high', gene_i, gene_j, r_high FROM kn WHERE abs(r_high) >= 0.1)
 SELECT ref_gene, net, 'gene_' || gene_i AS "from", 'gene_' || gene_j AS "to", {r6('r')} AS r, {r6('abs(r)')} AS abs_r FROM x""")
 def exported_edges(spark, sf_dir):
@@ -101,7 +110,7 @@ def exported_edges(spark, sf_dir):
 @query(f"""WITH {DEGREES}, e AS (SELECT ref_gene, unnest([gene_i, gene_j]) AS focus, class, delta FROM kn), c AS (SELECT ref_gene, focus, count(*) FILTER (class = 'disappear') AS n_disappear, count(*) FILTER (class = 'new') AS n_new, count(*) FILTER (class = 'sign_change') AS n_sign_change, sum(abs(delta)) AS a FROM e GROUP BY ALL)
 SELECT ref_gene, 'gene_' || focus AS gene_id, degree_low, degree_high, degree_diff, n_disappear, n_new, n_sign_change, n_disappear + n_new + n_sign_change AS rewiring_score, {r6('a')} AS sum_abs_delta FROM fd JOIN c USING (ref_gene, focus)""")
 def exported_nodes(spark, sf_dir):
-    return rounded(export.node_table(_keyed(spark, sf_dir)[1], _focus_degrees(spark, sf_dir)))
+    return rounded(export.node_table(*_network_and_degrees(spark, sf_dir)))
 
 
 @query(f"""WITH {DEGREES}, ego AS (SELECT ref_gene, focus AS ego FROM (SELECT *, row_number() OVER (PARTITION BY ref_gene ORDER BY degree_diff DESC, focus) AS k FROM fd) WHERE k <= 3),
@@ -112,7 +121,7 @@ SELECT x.ref_gene, x.ego, 2, '<edge source="gene_' || gene_i || '" target="gene_
 FROM kn JOIN mem x ON x.ref_gene = kn.ref_gene AND x.node = gene_i JOIN mem y ON y.ref_gene = x.ref_gene AND y.ego = x.ego AND y.node = gene_j""")
 def exported_ego_graphs(spark, sf_dir):
     """Node and edge lines of the GraphML documents; the head and the tail are the same for all."""
-    lines = export.ego_graphs(_keyed(spark, sf_dir)[1], _focus_degrees(spark, sf_dir), 3)
+    lines = export.ego_graphs(*_network_and_degrees(spark, sf_dir), 3)
     return lines.where("part in (1, 2)").select("ref_gene", "ego", F.col("part").cast("long").alias("part"), "text")
 
 
