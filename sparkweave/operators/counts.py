@@ -225,20 +225,20 @@ def without_effects(values: DataFrame, model: Design, *factors: str) -> DataFram
     """gene, sample, value: values (gene, sample, value) less what least squares of the model give to the columns of the factors.
 
     Columns of a summed factor average to 0 over its levels, so the level of a feature stays, and so does what the model's
-    other columns explain. The effects are one matrix of samples by samples, made once; features lacking a sample are left out.
+    other columns explain. A task holds the model's columns only; features lacking a sample are left out.
     """
     own = [k for k, name in enumerate(model.names) if any(name == f or (name.startswith(f) and name[len(f) :].isdigit()) for f in factors)]
     if not own:
         raise ValueError(f"the model has no column of {factors}")
     x = model.matrix
-    effect = (x @ np.linalg.inv(x.T @ x))[:, own] @ x[:, own].T
+    fit, back = (x @ np.linalg.inv(x.T @ x))[:, own], x[:, own].T
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             y = matrix_of(batch)
-            left = y - y @ effect
+            left = y - (y @ fit) @ back
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1) * left.shape[1], pa.int32()), pa.array(left.ravel()))
             yield pa.record_batch([batch.column("gene"), lists], ["gene", "y"])
 
