@@ -1,9 +1,9 @@
 """Quality rules: base counts of every document and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed word unigrams and bigrams (A-Z lowered) are counted: one over a bounded sample of trusted
-documents (label quality 1; a fifth of them is left out), one over all documents. A document's score is the sum of its n-grams' log ratios, divided
+Two multinomials over hashed word unigrams and bigrams (A-Z lowered) are counted: one over the trusted documents (label
+quality 1; a fifth of them, by a hash of the id, is left out), one over all documents. A document's score is the sum of its n-grams' log ratios, divided
 by its number of n-grams plus `prior`; documents under the threshold are rejected. The threshold lies a margin below the score that all
-but a share `lost` of the trusted sample reach, so it is the same for every document and does not depend on their order.
+but a share `lost` of that fifth reach, so it is the same for every document and does not depend on their order.
 
 Null texts count as empty. Empty texts have zero counts, score 0 and fail the base rule (fewer than 50 words). Equal
 texts get equal rows. Labels, language, source and ids are not inputs of a score; other columns are not read.
@@ -17,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import hash_segments, lower_ascii, release, slices, texts_of, windows, words_of
+from .tables import Scratch
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SMALL = 1_000_000  # ids that are broadcast at most (about 32 MB); more are joined by a shuffle
+CELLS, FEW = 1024, 10_000  # ranges of scores that are counted at a time, and scores of one that come to the driver
 
 
 @dataclass(frozen=True)
 class Params:
     buckets: int = 10_000  # hash buckets of the multinomials; what the driver holds
-    trusted: int = 20_000  # most trusted documents that the target is counted over
-    checked: int = 4_000  # most trusted documents that the threshold is set by
     prior: float = 50.0  # n-grams added to a document's length
     lost: float = 0.001  # share of the trusted documents left out below the lowest score that counts
     margin: float = 0.25  # of the way from the median to that score, by which the threshold lies below it
@@ -88,11 +89,32 @@ def _scores(column, ratios, prior):
     return np.bincount(owner, weights=ratios[grams], minlength=n) / (np.bincount(owner, minlength=n) + prior)
 
 
+def _placed(scores: DataFrame, places: list[int], few: int = FEW) -> list[float]:
+    """Values of a column `score` at places (from 0) of its ascending order: the range that holds a place is cut into
+    cells, and the cell into cells again, until one value or `few` rows are left."""
+    out = []
+    for place in places:
+        part = scores
+        low, high, n = part.agg(F.min("score"), F.max("score"), F.count("score")).first()
+        while low < high and n > few:
+            cell = F.least(F.floor((F.col("score") - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+            cells = part.groupBy(cell.alias("c")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("score").alias("n"))
+            for r in sorted(cells.collect(), key=lambda r: r.low):  # CELLS rows at most
+                if place < r.n:
+                    break
+                place -= r.n
+            low, high, n = r.low, r.high, r.n
+            part = scores.where(F.col("score").between(low, high))
+        out.append(low if low == high else sorted(r.score for r in part.collect())[place])
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
-    """Counts all documents and the trusted sample; labels has doc_id and quality. Without trusted rows nothing is rejected."""
+    """Counts all documents and the trusted ones; labels has doc_id and quality. Without trusted rows nothing is rejected."""
     picked = labels.where("quality = 1").where("doc_id is not null").select("doc_id").distinct()
     apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0  # a fifth sets the threshold and is not counted
-    trusted = picked.where(~apart).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.trusted).withColumn("trusted", F.lit(True))
+    small = F.broadcast if picked.count() <= SMALL else lambda df: df
+    trusted = picked.where(~apart).withColumn("trusted", F.lit(True))
     buckets = params.buckets
 
     def count(batches):
@@ -106,8 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
         release()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
 
-    # at most params.trusted ids: a bounded broadcast
-    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(trusted), "doc_id", "left")
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(trusted), "doc_id", "left")
     sums = marked.select("text", "trusted").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for row in sums.collect():  # one row for each bucket
@@ -115,13 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     ratios = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
     if not target.sum():
         return Model(np.zeros(buckets), -np.inf, params)
-    checked = picked.where(apart).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.checked)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(checked), "doc_id")
-    scored = apply(sample, Model(ratios, -np.inf, params)).where("not base_failed").select("score")
-    values = np.sort([r.score for r in scored.collect()])  # at most params.checked numbers
-    if not len(values):
+    checked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(picked.where(apart)), "doc_id")
+    scratch = Scratch(docs.sparkSession, "quality")
+    scored = scratch.put(apply(checked, Model(ratios, -np.inf, params)).where("not base_failed").select("score"), "scores")
+    n = scored.count()
+    if not n:
         return Model(ratios, -np.inf, params)
-    low, middle = float(values[int(len(values) * params.lost)]), float(values[len(values) // 2])
+    low, middle = _placed(scored, [int(n * params.lost), n // 2])
+    scratch.drop("scores")
     return Model(ratios, low - params.margin * (middle - low), params)
 
 

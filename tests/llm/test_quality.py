@@ -4,7 +4,9 @@ import collections
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sparkweave.llm import quality
 
@@ -43,3 +45,30 @@ def test_threshold(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got.values())
     assert quality.apply(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
     assert got[0].score < got[1].score
+
+
+def test_whole_reference(spark):
+    """Every trusted document counts, and every one of the fifth left out is scored: 30,000 short ones, over the old limits."""
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.concat(F.lit("w"), (F.col("id") * 7 + k * k) % 997))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
+    buckets = 10_000
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for mark, into in ((F.lit(True), [raw]), (~apart, [target])):
+        data, at = quality.texts_of(pa.array([r.text for r in rows.where(mark).collect()]))
+        into[0] += np.bincount(quality._grams(data, at, buckets)[0], minlength=buckets)
+    ratios = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    model = quality.fit(rows, labels)
+    assert np.allclose(model.ratios, ratios, atol=1e-12)
+    scores = np.sort(quality._scores(pa.array([r.text for r in rows.where(apart).collect()]), ratios, 50.0))
+    assert len(scores) > 4_000
+    low, middle = scores[int(len(scores) * 0.001)], scores[len(scores) // 2]
+    assert abs(model.threshold - (low - 0.25 * (middle - low))) < 1e-12
+
+
+def test_places(spark):
+    values = np.random.default_rng(1).normal(size=3000).round(2)
+    scores = spark.createDataFrame([(float(v),) for v in values], "score double")
+    places = [0, 3, 1500, 2999]
+    assert quality._placed(scores, places, few=5) == np.sort(values)[places].tolist()
