@@ -144,3 +144,21 @@ def test_power_choice(spark):
     assert graph.pick_power(df) == 6
     assert graph.pick_power(df.where("power in (1, 4)")) == 4
     assert graph.pick_power(df.where("power = 1")) == 1
+
+
+def test_ranks_hold_no_whole_key(spark):
+    """Ranks of counted values equal those of rows, and no window is over a whole key."""
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 50 == 0 else "ab"[k % 2], "xy"[int(rng.integers(2))], float(rng.integers(300))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k string, side string, v double")
+    out = express.rank_sum(df, "side", "x", "v", "k")
+    got = {r.k: r for r in out.collect()}
+    assert len(got) == 3
+    for key, r in got.items():
+        x, y = (np.array([v for k, s, v in rows if k == key and s == side]) for side in "xy")
+        u = (x[:, None] > y[None, :]).sum() + 0.5 * (x[:, None] == y[None, :]).sum()
+        assert (r.n1, r.n2, r.u) == (len(x), len(y), u) and (r.median1, r.median2) == (np.median(x), np.median(y))
+        assert abs(r.mean1 - x.mean()) < 1e-9 and abs(r.mean2 - y.mean()) < 1e-9
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    specs = [line for line in plan.split("\n") if "Window [" in line and "__v#" in line]
+    assert specs and all("__cell" in line for line in specs)
