@@ -43,3 +43,17 @@ def test_both_sides_from_one_table(spark):
     long = spark.createDataFrame([(g, s, float((g * 7 + s * s * 3) % 11)) for g in range(4) for s in range(9)], "gene long, sample int, value double")
     got = {(r.a, r.b): r.r for r in keyed.pairwise_complete(long.where("gene < 2"), long.where("gene >= 1")).collect()}
     assert len(got) == 6 and got[1, 1] == pytest.approx(1.0)
+
+
+def test_ranks_are_not_sorted_for_each_pair(spark):
+    """Pairs of 60 samples (floats) and of 300 (doubles) agree with plain ranks; ranks are products, not sorts of each pair."""
+    assert not hasattr(keyed, "_masked_z")
+    rng = np.random.default_rng(6)
+    for places in (60, 300):
+        x = rng.integers(0, 40, (6, places)).astype(float)
+        x[rng.random(x.shape) < 0.3] = np.nan
+        long = spark.createDataFrame([(g, s, None if np.isnan(v) else float(v)) for g, row in enumerate(x) for s, v in enumerate(row)], "gene long, sample int, value double")
+        for r in keyed.pairwise_complete(long.where("gene < 3"), long.where("gene >= 3")).collect():
+            on = ~np.isnan(x[r.a]) & ~np.isnan(x[r.b])
+            p, q = ((np.sign(v[:, None] - v[None, :]).sum(axis=1)) for v in (x[r.a][on], x[r.b][on]))
+            assert r.n == on.sum() and r.r == pytest.approx(np.corrcoef(p, q)[0, 1], abs=1e-12)
