@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from sparkweave.functions.ranks import MAD_SCALE, drawn
 from sparkweave.sources.scratch import checkpointed
 
-from . import diffnet, express, fdr
+from . import diffnet, express, fdr, significant
 from .diffnet import Params
 from .keyed import rank_rows, wide
 
-BLOCK, SPLITS = 512, 256
+BLOCK, ROW, SPLITS = 512, 8192, 256
 METRICS = ("n_diff_edges", "focus_deg_low", "focus_deg_high", "mean_abs_delta", "max_abs_delta", "l1_n_nodes", "l1_rewire", "l1_frac_rewire")
 
 
@@ -96,6 +96,62 @@ def row_metrics(rows: DataFrame, every: DataFrame, params: Params = Params()) ->
     return got.withColumn("l1_n_nodes", F.col("n_diff_edges")).withColumn("l1_frac_rewire", share).select("focus", "perm", *METRICS)
 
 
+def _row_jobs(genes: DataFrame, samples: list[int], sides: DataFrame, work, schema: str, block: int | None = None, per: int = SPLITS) -> DataFrame:
+    """work(split's row, correlations, p values, none) of every block of features and every split, as rows of a schema.
+
+    The pairs are those of the split's focus with the features of the block. genes: as significant._prepared has them; sides:
+    ref_gene (the split's number), focus, low, high, own (the focus's values) and what work reads.
+    """
+    count = genes.count()
+    blocks, groups = max(1, -(-count // (block or min(ROW, max(BLOCK, -(-count // 8)))))), max(1, -(-sides.count() // per))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = genes.withColumn("b", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int")).withColumn("g", spread(groups))
+    s = sides.withColumn("g", F.pmod(F.xxhash64("ref_gene"), F.lit(groups)).cast("int")).withColumn("b", spread(blocks))
+    place = {v: k for k, v in enumerate(samples)}
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(key, table, rows):
+        parts = []
+        if table.num_rows and rows.num_rows:
+            ids = table.column("gene").to_numpy()
+            x = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for row in rows.to_pylist():
+                both = np.vstack([x, np.array(row["own"], dtype=x.dtype)])
+                sides = [significant._centred(both[:, [place[v] for v in row[c]]]) for c in ("low", "high")]
+                _, r, p = significant._tested(sides, np.array([len(ids)]), np.arange(len(ids)), (ids != row["focus"])[None, :], len(row["low"]), True)
+                parts.append(work(row, r, p, None))
+        return pa.table({n: pa.array(np.concatenate([p[k] for p in parts]) if parts else [], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+    return a.groupBy("b", "g").cogroup(s.groupBy("b", "g")).applyInArrow(run, schema)
+
+
+def split_metrics(long: DataFrame, every: DataFrame, params: Params = Params(), **deal) -> DataFrame:
+    """As row_metrics of row_correlations, summed inside the blocks: no table of splits times features is made.
+
+    The largest significant p of each split comes from counts of p values (significant._with_cuts).
+    """
+    samples = sorted(r[0] for r in long.select(F.col("sample").cast("long")).distinct().collect())
+    genes = checkpointed(significant._codes(long))
+    numbered = every.select("focus", "perm", "low", "high", F.monotonically_increasing_id().alias("ref_gene"))
+    sides = checkpointed(numbered.join(genes.select(F.col("gene").alias("focus"), F.col("values").alias("own")), "focus"))
+    sides = significant._with_cuts(genes, samples, sides, params.alpha, _row_jobs, **deal)
+
+    def add(row, r, p, _):
+        low, high = p[0] <= row["cut_low"], p[1] <= row["cut_high"]
+        edge = (low | high) & (p[2] <= row["cut_diff"])
+        low, high = (s & (np.abs(x) >= params.threshold) for s, x in zip((low, high), r, strict=True))
+        rewired = edge & ((low != high) | (low & high & (np.sign(r[0]) != np.sign(r[1]))))
+        d = np.abs(r[1] - r[0])[edge]
+        return [[v] for v in (row["focus"], row["perm"], int(edge.sum()), int(low.sum()), int(high.sum()), float(d.sum()), float(d.max(initial=0)), int(rewired.sum()))]
+
+    got = _row_jobs(genes, samples, sides, add, "focus long, perm long, n_diff_edges long, focus_deg_low long, focus_deg_high long, total double, max_abs_delta double, l1_rewire long", **deal)
+    got = got.groupBy("focus", "perm").agg(F.max("max_abs_delta").alias("max_abs_delta"), *[F.sum(c).alias(c) for c in got.columns if c not in ("focus", "perm", "max_abs_delta")])
+    got = every.select("focus", "perm").join(got, ["focus", "perm"], "left").fillna(0).fillna(0.0)
+    share = lambda c: F.when(F.col("n_diff_edges") > 0, F.col(c) / F.col("n_diff_edges")).otherwise(0.0)
+    return got.withColumns({"mean_abs_delta": share("total"), "l1_n_nodes": F.col("n_diff_edges"), "l1_frac_rewire": share("l1_rewire")}).select("focus", "perm", *METRICS)
+
+
 def network_permutations(long: DataFrame, focuses: DataFrame, count: int = 100, params: Params = Params(), seed: int = 9999, mode: str = "matched", observed: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
     """focus, metric, observed, null_mean, null_std, all_zero, p, n_metrics_sig, any_sig.
 
@@ -106,7 +162,7 @@ def network_permutations(long: DataFrame, focuses: DataFrame, count: int = 100,
     if mode not in ("matched", "reference") or (mode == "reference") != (observed is not None):
         raise ValueError("mode is matched, or reference with observed values")
     every = checkpointed(splits(long, focuses, count, params.fraction, seed))
-    metrics = checkpointed(row_metrics(row_correlations(long, every), every, params))
+    metrics = checkpointed(split_metrics(long, every, params))
     tall = lambda df, *keys: df.unpivot(list(keys), [F.col(m).cast("double").alias(m) for m in METRICS], "metric", "value")
     seen = metrics.where("perm = 0").drop("perm") if observed is None else observed.select("focus", *METRICS)
     tested = seen.select("focus", (F.col("n_diff_edges") > 0).alias("tested"))

@@ -79,3 +79,22 @@ def test_variability(data):
     low, high = (np.mean([mad(x[g, at]) for g in range(1, 30)]) for at in (slice(0, 8), slice(32, 40)))
     assert rows[0].mean_mad_low == pytest.approx(low) and rows[0].shift == pytest.approx(high - low)
     assert rows[0].perm_p <= 0.1 and 0 <= rows[3].perm_p <= 1 and rows[3].wilcoxon_p > 0
+
+
+def test_split_metrics_without_a_table_of_rows(spark, monkeypatch):
+    """The same metrics as from all rows; the blocks hand on a row for each split and block."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(90, 40)) + np.repeat(rng.normal(size=(9, 40)), 10, axis=0), 1)
+    x[5] = 1.0  # without spread
+    long = spark.createDataFrame([(g, s, float(v)) for g, row in enumerate(x) for s, v in enumerate(row)], "gene long, sample int, value double")
+    focuses = spark.createDataFrame([(0,), (5,), (44,)], "focus long")
+    every = resample.splits(long, focuses, 6).cache()
+    made, jobs = [], resample._row_jobs
+    monkeypatch.setattr(resample, "_row_jobs", lambda *a, **k: made.append(jobs(*a, **k)) or made[-1])
+    params = diffnet.Params(alpha=0.3)
+    got = {(r.focus, r.perm): r for r in resample.split_metrics(long, every, params, block=30, per=8).collect()}
+    want = resample.row_metrics(resample.row_correlations(long, every), every, params).collect()
+    assert len(got) == len(want) == 21 and sum(r.n_diff_edges for r in want) > 0 and sum(r.l1_rewire for r in want) > 0
+    for r in want:
+        assert tuple(got[r.focus, r.perm]) == pytest.approx(tuple(r), abs=1e-9)
+    assert made[-1].count() <= 21 * 3
