@@ -119,7 +119,7 @@ def _row_jobs(genes: DataFrame, samples: list[int], sides: DataFrame, work, sche
             for row in rows.to_pylist():
                 both = np.vstack([x, np.array(row["own"], dtype=x.dtype)])
                 sides = [significant._centred(both[:, [place[v] for v in row[c]]]) for c in ("low", "high")]
-                _, r, p = significant._tested(sides, np.array([len(ids)]), np.arange(len(ids)), (ids != row["focus"])[None, :], len(row["low"]), True)
+                _, r, p = significant._tested(sides, np.array([len(ids)]), np.arange(len(ids)), (ids != row["focus"])[None, :], len(row["low"]))
                 parts.append(work(row, r, p, None))
         return pa.table({n: pa.array(np.concatenate([p[k] for p in parts]) if parts else [], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 

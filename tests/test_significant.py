@@ -64,3 +64,19 @@ def test_equal_correlations_are_equal(spark):
     r = np.corrcoef(np.argsort(np.argsort(x[:, :32], axis=1), axis=1))
     assert all(r_.w1 == pytest.approx(abs(r[r_.gene_i, r_.gene_j])) for r_ in got)
     assert len(got) == (np.abs(r[np.triu_indices(40, 1)]) > 0.1).sum()
+
+
+def test_pairs_below_the_cut_are_left_out_first():
+    """Every pair beyond the cut is there with its exact correlations, whether few or most pairs are; the others have no exact product."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 40, (60, 32))
+    x[7], x[11], x[30] = 3, x[12], 41 - x[13]
+    sides = [significant._centred(x[:, k : k + 16]) for k in (0, 16)]
+    one, two = np.arange(30), np.arange(30, 60)
+    pick = np.ones((30, 30), bool)
+    pick[2, 3] = False
+    at, r = significant._tested(sides, one, two, pick, 16)[:2]
+    for cut in (0.0, 0.3, 0.55, 0.9):
+        on = (np.abs(r[0]) > cut) | (np.abs(r[1]) > cut)
+        got = significant._above(sides, one, two, pick, cut)
+        assert (got[0] == at[on]).all() and all((a == b[on]).all() for a, b in zip(got[1], r, strict=True))
