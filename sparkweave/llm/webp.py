@@ -352,8 +352,8 @@ def _reversed(lengths):
 class Writer:
     """Bits, lowest first."""
 
-    def __init__(self):
-        self.word, self.have = 0, 0
+    def __init__(self, word: int = 0, have: int = 0):
+        self.word, self.have = word, have
 
     def put(self, value: int, n: int) -> None:
         self.word |= value << self.have
@@ -455,9 +455,8 @@ def _copies(x: np.ndarray):
     """Places, distances and lengths of back-references: from each place on that repeats the SAME bytes last seen at a
     distance, as far as the places after it repeat at the same one, if these are SHORT bytes or more."""
     n = max(0, len(x) - SAME + 1)
-    key = np.zeros(n, np.uint64)
-    for k in range(SAME):
-        key = key << np.uint64(8) | x[k : k + n].astype(np.uint64)
+    whole = x.tobytes() + bytes(8)
+    key = np.ndarray(n, ">u8", whole, strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * SAME)
     key = np.sort(key << np.uint64(15) | np.arange(n, dtype=np.uint64))
     place = (key & np.uint64(0x7FFF)).astype(np.int64)
     same = np.flatnonzero(key[1:] >> np.uint64(15) == key[:-1] >> np.uint64(15))
@@ -476,16 +475,12 @@ def _copies(x: np.ndarray):
     return np.array(places, np.int64), np.array(backs, np.int64), np.array(sizes, np.int64)
 
 
-def encode_grey(grey: np.ndarray) -> bytes:
-    """A lossless image of height x width grey samples, at most 2^15: subtract-green, a palette of the values (their
-    greens; over 16 entries, so that pixels are not packed), back-references and prefix codes."""
-    height, width = grey.shape
-    x = grey.ravel()
+@lru_cache(maxsize=8192)
+def _head(width: int, height: int, low: int, colours: int) -> tuple[int, int]:
+    """The bits of a grey file up to its codes, and their number: size, subtract-green and the palette."""
     out = Writer()
     out.put(width - 1, 14), out.put(height - 1, 14), out.put(0, 1), out.put(0, 3)
     out.put(1, 1), out.put(2, 2)
-    low = min(int(x.min()), 239)
-    colours = max(17, int(x.max()) - low + 1)
     out.put(1, 1), out.put(3, 2), out.put(colours - 1, 8)
     out.put(0, 1)  # the palette has no cache; a colour is its difference to the one before: low, 1 and copies of that
     size = int(np.searchsorted(_BASE, colours - 2, side="right")) - 1
@@ -498,6 +493,25 @@ def encode_grey(grey: np.ndarray) -> bytes:
             out.put(1 - k, 1)  # alpha 255, then a difference of 0
     out.put(colours - 2 - int(_BASE[size]), int(_EXTRA[size]))  # the distance, one pixel, takes no bits
     out.put(0, 1), out.put(0, 1), out.put(0, 1)  # no further transform, no cache, no meta codes
+    return out.word, out.have
+
+
+@lru_cache(maxsize=1)
+def _plain_codes() -> tuple[int, int]:
+    """The bits of the codes of red, blue and alpha, which have one symbol each, and their number."""
+    out = Writer()
+    for lengths in (_NONE, _NONE, _OPAQUE):
+        write_code(out, lengths)
+    return out.word, out.have
+
+
+def encode_grey(grey: np.ndarray) -> bytes:
+    """A lossless image of height x width grey samples, at most 2^15: subtract-green, a palette of the values (their
+    greens; over 16 entries, so that pixels are not packed), back-references and prefix codes."""
+    height, width = grey.shape
+    x = grey.ravel()
+    low = min(int(x.min()), 239)
+    out = Writer(*_head(width, height, low, max(17, int(x.max()) - low + 1)))
     places, backs, sizes = _copies(x)
     covered = np.zeros(len(x) + 1, np.int8)
     covered[places] += 1
@@ -511,20 +525,22 @@ def encode_grey(grey: np.ndarray) -> bytes:
     symbol = symbol[plain]
     green = code_lengths(np.bincount(symbol, minlength=280), MOST)
     far = code_lengths(np.bincount(of_back, minlength=40), MOST)
-    for lengths in (green, _NONE, _NONE, _OPAQUE, far):
-        write_code(out, lengths)
-    value, n = np.zeros((len(symbol), 2), np.int64), np.zeros((len(symbol), 2), np.int64)
+    write_code(out, green)
+    out.put(*_plain_codes())
+    write_code(out, far)
+    value, n = np.zeros((2, len(symbol)), np.int64)
     if np.count_nonzero(green) > 1:
-        value[:, 0], n[:, 0] = _reversed(green)[symbol], green[symbol]
+        value, n = _reversed(green)[symbol], green[symbol]
     if len(places):
         at = np.flatnonzero(symbol >= 256)
-        value[at, 0] |= (sizes - _BASE[of_size]) << n[at, 0]
-        n[at, 0] += _EXTRA[of_size]
+        value[at] |= (sizes - _BASE[of_size]) << n[at]
+        n[at] += _EXTRA[of_size]
+        more, bits = np.zeros((2, len(at)), np.int64)
         if np.count_nonzero(far) > 1:
-            value[at, 1], n[at, 1] = _reversed(far)[of_back], far[of_back]
-        value[at, 1] |= (backs + 120 - _BASE[of_back]) << n[at, 1]
-        n[at, 1] += _EXTRA[of_back]
-    return _file(out, value.ravel(), n.ravel())
+            more, bits = _reversed(far)[of_back], far[of_back]
+        more |= (backs + 120 - _BASE[of_back]) << bits
+        value, n = np.insert(value, at + 1, more), np.insert(n, at + 1, bits + _EXTRA[of_back])
+    return _file(out, value, n)
 
 
 _FLIP = np.array([int(f"{b:08b}"[::-1], 2) for b in range(256)], np.uint8)

@@ -228,3 +228,11 @@ def test_files_of_other_forms_are_read_with_them():
     back = w.decode_many([w.encode(rgb), w.encode_grey(grey), w.encode(rgb)])
     assert (back[0] == rgb).all() and (back[1][..., 1] == grey).all() and (back[2] == rgb).all()
     assert w.decode_many([]) == []
+
+
+def test_heads_of_like_files_are_made_once():
+    w._head.cache_clear()
+    texts = [(f"some words of text number {k} " * 40).encode() for k in range(20)]
+    stored = [w.store_grey(w.payload_of(t)) for t in texts]
+    assert w.load_many(stored) == [w.payload_of(t) for t in texts]
+    assert w._head.cache_info().misses < 20 <= w._head.cache_info().hits + w._head.cache_info().misses
