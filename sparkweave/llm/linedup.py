@@ -14,10 +14,12 @@ before and after it (position filter). Each shown word travels with 64 parity bi
 two sets differ are at most the words in which they differ, which drops almost all other pairs inside the join. Sets
 that show the same two words in a row meet at the first of them only. What passes is verified on the whole sets.
 
-Pairs are made in two rounds. In the first a set meets, for each of the FEW rarest words that it shows, the earliest set
-that has it among them and the BEFORE ones before itself, and is held against the likeliest of these. Sets that this beats need no second round, though they still beat
-others; so a large group of near copies costs in proportion to its members. In the second round all others meet all
-earlier sets. Sets of up to three words match equal ones only.
+Pairs are made in three rounds. In the first a set meets, for each of the FEW rarest words that it shows, the earliest
+set that has it among them and the BEFORE ones before itself, and is held against the likeliest of these. In the second,
+sets that are not beaten do so by the other words that they show, against the TRIES likeliest: near copies with rare words
+of their own meet only there. Beaten sets need no further round, though they still beat others; so most members of a large
+group of near copies cost no more than any other set. In the third round all that are left meet all earlier sets. Sets of
+up to three words match equal ones only.
 
 Words are compared by their levels and 55 bits of their hashes, equal sets by 64-bit hashes of these. Null texts stay
 null, empty ones empty; rows without an id are left alone and beat none; what is removed for one of several rows with an
@@ -36,6 +38,7 @@ PLACE = (1 << 31) - 1
 ROW = 1024  # cells that come to the driver in one row
 LONG = 30  # words over which a set has 128 parity bits
 FEW = 2  # shown words of the first round
+TRIES = 12  # sets that a set is held against in the second round at most
 BEFORE = 6  # sets before itself that a set meets there
 SMALL = 1_000_000  # lines whose numbers are broadcast at most (about 32 MB); more are joined by a shuffle
 
@@ -90,6 +93,19 @@ def _parity(words: Column, half: int | None = None) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), turn)
 
 
+def _end(name: str):
+    """Columns of one end of a pair."""
+    return lambda c: F.col(f"{name}.{c}")
+
+
+def _pair(x, y) -> list[Column]:
+    return [x("doc").alias("doc"), x("line").alias("line"), y("doc").alias("doc2"), y("line").alias("line2")]
+
+
+def _earlier(x, y) -> Column:
+    return (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
+
+
 def _words(z) -> Column:
     return F.shiftrightunsigned(z("meta"), 31).bitwiseAND(F.lit(PLACE))
 
@@ -110,20 +126,35 @@ def _close(x, y) -> Column:
     return near & ((i == 0) | (j == 0) | (x("prev") != y("prev")))
 
 
-def _shown(sets: DataFrame, most: int | None = None) -> DataFrame:
-    """word, prev, doc, line, meta (beaten, words and place of the word, packed), parity bits: a row for each shown word."""
+def _shown(sets: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
+    """word, prev, doc, line, meta (beaten, words and place of the word, packed), parity bits: a row for each shown word
+    from the place start to the one before end."""
     packed = F.when(F.col("beaten"), F.lit(1 << 62)).otherwise(F.lit(0).cast("long")) + F.shiftleft(F.col("n").cast("long"), 31)
-    head = F.slice("head", 1, most) if most else F.col("head")
+    head = F.slice("head", 1, end) if end else F.col("head")
     pairs = F.arrays_zip(head.alias("word"), F.concat(F.array(F.lit(0).cast("long")), F.slice(head, 1, F.size(head) - 1)).alias("prev"))
     rows = sets.where("head is not null").select("doc", "line", packed.alias("meta"), "bits", "more", F.posexplode(pairs).alias("place", "one"))
-    return rows.select("one.word", "one.prev", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "bits", "more")
+    return rows.where(F.col("place") >= start).select("one.word", "one.prev", "doc", "line", (F.col("meta") + F.col("place")).alias("meta"), "bits", "more")
+
+
+def _likeliest(shown: DataFrame, most: int) -> DataFrame:
+    """doc, line, doc2, line2: for sets that are not beaten, the earlier sets (most at most) in which the fewest parity bits
+    differ, among the earliest set of each shown word and the BEFORE ones before the set itself."""
+    own = F.struct("doc", "line", "meta", "bits", "more", "prev")
+    at = W.partitionBy("word").orderBy("doc", "line")
+    met = shown.select(own.alias("y"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, BEFORE + 1)]).alias("xs"))
+    met = met.where(F.col("y.meta") < 1 << 62).select("y", F.explode("xs").alias("x")).where("x is not null")
+    x, y = _end("x"), _end("y")
+    met = met.where(_earlier(x, y) & _close(x, y)).select(*_pair(x, y), _apart(x, y).alias("apart"))
+    best = met.groupBy("doc2", "line2").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "doc", "line"))), 1, most).alias("best"))
+    return best.select("doc2", "line2", F.explode("best").alias("x")).select("x.doc", "x.line", "doc2", "line2")
 
 
 def _similar(docs: DataFrame, levels: Column, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """doc, line of the later sets of those pairs (doc, line; doc2, line2, the later) that are similar. docs: plain texts."""
     pairs = scratch.put(pairs.distinct(), f"pairs-{name}")
     lines = scratch.put(pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct(), f"lines-{name}")
-    bodies = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    some = docs.join(_small(lines.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    bodies = some.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
     picked = bodies.join(_small(lines), ["doc", "line"]).select("doc", "line", _ranked(F.col("body"), levels).alias("words"))
     picked = scratch.put(picked, f"words-{name}")
     both = pairs.join(picked, ["doc", "line"]).join(picked.toDF("doc2", "line2", "words2"), ["doc2", "line2"])
@@ -133,6 +164,11 @@ def _similar(docs: DataFrame, levels: Column, pairs: DataFrame, scratch: Scratch
     return found
 
 
+def _marked(sets: DataFrame, beaten: DataFrame) -> DataFrame:
+    found = _small(beaten).withColumn("beaten", F.lit(True))
+    return sets.join(found, ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, lines: the numbers from 0 of each document's removed lines, if any. docs: doc_id, text."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -151,27 +187,18 @@ def removed(docs: DataFrame) -> DataFrame:
     copies = scratch.put(every.select("doc", "line", "h").join(_small(many), "h").where("struct(doc, line) <> first").select("doc", "line", "h"), "copies")
     first = every.join(_small(copies), ["doc", "line", "h"], "left_anti")
 
-    shown = _shown(first.withColumn("beaten", F.lit(False)), FEW)
-    own = F.struct("doc", "line", "meta", "bits", "more", "prev")
-    at = W.partitionBy("word").orderBy("doc", "line")
-    met = shown.select(own.alias("y"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, BEFORE + 1)]).alias("xs"))
-    met = met.select("y", F.explode("xs").alias("x")).where("x is not null")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    earlier = (x("doc") < y("doc")) | ((x("doc") == y("doc")) & (x("line") < y("line")))
-    pair = [x("doc").alias("doc"), x("line").alias("line"), y("doc").alias("doc2"), y("line").alias("line2")]
-    met = met.where(earlier & _close(x, y)).select(*pair, _apart(x, y).alias("apart"))
-    met = met.groupBy("doc2", "line2").agg(F.min(F.struct("apart", "doc", "line")).alias("x")).select("x.doc", "x.line", "doc2", "line2")
-    beaten = _similar(docs, levels, met, scratch, "one")
-
-    marked = first.join(_small(beaten).withColumn("beaten", F.lit(True)), ["doc", "line"], "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
-    shown = _shown(marked)
-    pairs = shown.alias("x").join(shown.alias("y").hint("merge"), (x("word") == y("word")) & earlier & _close(x, y))
-    beaten = beaten.union(_similar(docs, levels, pairs.select(*pair), scratch, "two"))
+    beaten = _similar(docs, levels, _likeliest(_shown(first.withColumn("beaten", F.lit(False)), 0, FEW), 1), scratch, "one")
+    marked = _marked(first, beaten)
+    beaten = beaten.union(_similar(docs, levels, _likeliest(_shown(marked, FEW), TRIES), scratch, "two"))
+    shown = _shown(_marked(first, beaten))
+    x, y = _end("x"), _end("y")
+    pairs = shown.alias("x").join(shown.alias("y").hint("merge"), (x("word") == y("word")) & _earlier(x, y) & _close(x, y))
+    beaten = beaten.union(_similar(docs, levels, pairs.select(*_pair(x, y)), scratch, "three"))
     # with the first of a class all of it goes
     classes = scratch.put(first.select("doc", "line", "h").join(_small(beaten), ["doc", "line"]).select("h").distinct(), "classes")
     gone = every.select("doc", "line", "h").join(_small(classes), "h", "left_semi").select("doc", "line").union(copies.select("doc", "line"))
     gone = scratch.put(gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
-    scratch.drop("every", "many", "copies", "classes", "beaten-one", "beaten-two")
+    scratch.drop("every", "many", "copies", "classes", "beaten-one", "beaten-two", "beaten-three")
     return gone
 
 

@@ -49,6 +49,27 @@ def test_groups_of_near_copies(spark):
     assert got == brute([(*r, "") for r in rows])
 
 
+def test_near_copies_with_rare_words_of_their_own(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(60)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 301):
+        words = list(base)
+        for at in rng.sample(range(60), 3):
+            words[at] = f"only{k}x{at}"
+        rows.append((k, " ".join(words)))
+    pairs, similar = [], linedup._similar
+
+    def counted(docs, levels, found, scratch, name):
+        pairs.append(found.distinct().count())
+        return similar(docs, levels, found, scratch, name)
+
+    monkeypatch.setattr(linedup, "_similar", counted)
+    got = {r.doc_id: r.text for r in linedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute([(*r, "") for r in rows])
+    assert sum(pairs) <= 20 * len(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, h long")
     assert linedup.clean(df).collect() == []
