@@ -17,7 +17,9 @@ and combinations are made for both.
 
 Sets of one entry of the index are joined if they are in different components, if their sizes and BITS parity bits
 (which differ in no more places than the sets do) allow a link and if the places of a rare member leave room for it; the
-sets of an entry's largest component meet only the others. Each pair found is verified on the whole texts: a text
+sets of an entry's largest component meet only the others. Two sets that share many combinations are joined by few of
+them: not by one whose class has a common member next below the larger of the two, nor if one of the OVER classes before
+its own is the same in both. Each pair found is verified on the whole texts: a text
 travels to each of its partners once, and a partner of many is copied to parts of PART texts.
 
 Null and empty texts have no shingles and are components of their own; rows without an id have no component and link
@@ -40,6 +42,8 @@ KEYS = 6  # shingles of a head that a turn looks at
 PART = 100  # texts that a copy of their partner is made for
 SMALL = 1_000_000  # rows of a few numbers that are broadcast at most (32 MB); more are joined by a shuffle
 BITS = 512
+OVER = 4  # classes before its own of which a combination knows the members
+OVERS = tuple(f"over{k}" for k in range(OVER))
 _SIZES = np.unique(np.ceil(1.25 ** np.arange(0, 120)).astype(np.float64))
 
 
@@ -92,13 +96,31 @@ def _heads(batches):
         release()
 
 
+def _classes_before(own, group, token):
+    """For members sorted by set, class and hash: hashes of the members of each of the OVER classes numbered just below their
+    own, as columns; 0 for a class of less than two members in the set."""
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(group) != 0)])[: len(own)])
+    size = np.diff(np.append(first, len(own)))
+    if not len(first):
+        return np.zeros((0, OVER), np.int64)
+    whole = np.where(size > 1, np.add.reduceat(mix(token.view(np.uint64)), first).view(np.int64), 0)
+    key = own[first] * (1 << 32) + group[first]
+    out = np.zeros((len(first), OVER), np.int64)
+    for k in range(OVER):
+        at = np.minimum(np.searchsorted(key, key - k - 1), len(key) - 1)
+        out[:, k] = np.where((key[at] == key - k - 1) & (group[first] > k), whole[at], 0)
+    return np.repeat(out, size, axis=0)
+
+
 def _signatures(batches):
     """From the indexed shingles of each set's head (place, token, often): its entries in the index, with parity bits.
 
     kind 0: a rare shingle, with its place and the rare one at the place before; 1: a combination of a set that needs
-    combinations; 2: one that is only offered.
+    combinations; 2: one that is only offered. A combination has the other member of its class next below the larger of
+    the two (prev), and hashes of the OVER classes before its own: sets in which one of these is equal meet at a smaller
+    combination too.
     """
-    names = ["sig", "kind", "doc", "root", "n", "pos", "prev"]
+    names = ["sig", "kind", "doc", "root", "n", "pos", "prev", *OVERS]
     words = BITS // 64
     for batch in batches:
         doc, root, n = (batch.column(k).to_numpy() for k in range(3))
@@ -121,8 +143,8 @@ def _signatures(batches):
 
         out, owners = {c: [] for c in names}, []
 
-        def add(sig, kind, o, place, before):
-            for c, v in zip(names, (sig, kind, doc[o], root[o], n[o], place, before), strict=True):
+        def add(sig, kind, o, place, before, over):
+            for c, v in zip(names, (sig, kind, doc[o], root[o], n[o], place, before, *over.T), strict=True):
                 out[c].append(v)
             owners.append(o)
 
@@ -139,18 +161,24 @@ def _signatures(batches):
             o, g, t = own[freq][inside], group[inside], token[freq][inside]
             order = np.lexsort((t, g, o))
             o, g, t = o[order], g[order], t[order]
+            over = _classes_before(o, g, t)
             for step in range(1, len(o)):
                 same = (g[step:] == g[:-step]) & (o[step:] == o[:-step])
                 if not same.any():
                     break
                 left, right, mine = t[:-step][same].view(np.uint64), t[step:][same].view(np.uint64), o[step:][same]
-                none = np.zeros(len(mine), np.int64)
-                add(mix(mix(left + b[mine].astype(np.uint64)) ^ right).view(np.int64), np.where(enough[mine], 2, 1), mine, none, none)
+                at = np.flatnonzero(same)
+                if step > 1:
+                    before = t[at + step - 1]
+                else:
+                    back = np.maximum(at - 1, 0)
+                    before = np.where((at > 0) & (o[back] == mine) & (g[back] == g[at]), t[back], 0)
+                add(mix(mix(left + b[mine].astype(np.uint64)) ^ right).view(np.int64), np.where(enough[mine], 2, 1), mine, np.zeros(len(mine), np.int64), before, over[at])
         alone = np.flatnonzero(~often & (pos < longest[own]))
         before = np.zeros(len(alone), np.int64)  # 0: none
         near = (np.diff(own[alone]) == 0) & (np.diff(pos[alone]) == 1)
         before[1:][near] = token[alone][:-1][near]
-        add(token[alone], np.zeros(len(alone), np.int64), own[alone], pos[alone], before)
+        add(token[alone], np.zeros(len(alone), np.int64), own[alone], pos[alone], before, np.zeros((len(alone), OVER), np.int64))
         mine = bits[np.concatenate(owners)]
         arrays = [pa.array(np.concatenate(out[c])) for c in names] + [pa.array(np.ascontiguousarray(mine[:, k])) for k in range(words)]
         yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f"b{k}" for k in range(words))])
@@ -270,7 +298,7 @@ class _Join:
         by_set = marked.groupBy("doc", "root", "n").agg(F.collect_list("one").alias("shown"))  # of one head at most
         by_set = by_set.join(self.heads.select("doc", "bits"), "doc").select("doc", "root", "n", "shown", "bits")
         words = [f"b{k}" for k in range(BITS // 64)]
-        rows = by_set.mapInArrow(_signatures, "sig long, kind long, doc long, root long, n long, pos long, prev long, " + ", ".join(f"{w} long" for w in words))
+        rows = by_set.mapInArrow(_signatures, "sig long, kind long, doc long, root long, n long, pos long, prev long, " + ", ".join(f"{c} long" for c in OVERS) + ", " + ", ".join(f"{w} long" for w in words))
         rows = self.scratch.put(rows, "rows")
         self.scratch.drop("kept", "across")
         # an entry's largest component, where it has two at least and they may be joined by it
@@ -278,18 +306,21 @@ class _Join:
         most = per.groupBy("sig").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("most"), F.min("kind").alias("kind")).where("roots > 1 and kind < 2")
         most = self.scratch.put(most.select("sig", F.col("most.root").alias("largest")), "most")
         packed = (F.shiftleft(F.shiftleft("n", 31) + F.col("pos"), 2) + F.col("kind")).alias("meta")
-        flagged = rows.join(_few(most), "sig").select("sig", "doc", "root", packed, "prev", (F.col("root") == F.col("largest")).alias("big"), *words)
+        flagged = rows.join(_few(most), "sig").select("sig", "doc", "root", packed, "prev", *OVERS, (F.col("root") == F.col("largest")).alias("big"), *words)
         flagged = self.scratch.put(flagged, "flagged")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
         kind, place = (lambda z: z("meta").bitwiseAND(F.lit(3))), (lambda z: F.shiftrightunsigned(z("meta"), 2).bitwiseAND(F.lit((1 << 31) - 1)))
         n, m = F.shiftrightunsigned(x("meta"), 33), F.shiftrightunsigned(y("meta"), 33)
         room = F.least(place(x), place(y)) + F.least(n - place(x), m - place(y))
-        # a pair with the same member before this one has been found by that
-        alone = (kind(x) == 0) & (kind(y) == 0) & (9 * room >= 4 * (n + m)) & ((x("prev") != y("prev")) | (x("prev") == 0))
+        # a pair with the same member before this one, or the same class just before this one's, has been found by that
+        new = (x("prev") != y("prev")) | (x("prev") == 0)
+        alone = (kind(x) == 0) & (kind(y) == 0) & (9 * room >= 4 * (n + m))
         mixed = (kind(x) > 0) & (kind(y) > 0) & ((kind(x) == 1) | (kind(y) == 1))
+        for c in OVERS:
+            mixed &= (x(c) != y(c)) | (x(c) == 0)
         apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words), F.lit(0))
         once = (x("root") != y("root")) & (x("big") | (x("doc") < y("doc"))) & _near(n, m) & (9 * apart <= n + m)
-        pairs = flagged.alias("x").join(flagged.where("not big").alias("y"), (x("sig") == y("sig")) & once & (alone | mixed))
+        pairs = flagged.alias("x").join(flagged.where("not big").alias("y"), (x("sig") == y("sig")) & once & new & (alone | mixed))
         pairs = self.scratch.put(pairs.select(F.least(x("doc"), y("doc")).alias("a"), F.greatest(x("doc"), y("doc")).alias("b")).distinct(), "found")
         self.scratch.drop("rows", "flagged", "most")
         self.merge(self.linked(pairs, "rest"), "rest")

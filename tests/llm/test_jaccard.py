@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from sparkweave.llm import jaccard
 
 
@@ -52,3 +55,22 @@ def test_repeated_and_missing_ids(spark):
 
 def test_empty(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_meet_at_few_of_their_combinations():
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(-(1 << 62), 1 << 62, 400))
+    sets = [np.sort(np.where(rng.random(400) < 0.06 * (k % 3), rng.integers(-(1 << 62), 1 << 62, 400), base)) for k in range(12)]
+    size = 400 - 320 + 1 + 21
+    shown = [[{"pos": p, "token": int(t), "often": True} for p, t in enumerate(s[:size])] for s in sets]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.int64()), ("often", pa.bool_())]))
+    ids, bits = pa.array(range(12), pa.int64()), pa.array([[0] * (jaccard.BITS // 64)] * 12, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([400] * 12, pa.int64()), pa.array(shown, kind), bits], names=["doc", "root", "n", "shown", "bits"])
+    rows = pa.Table.from_batches(jaccard._signatures([batch])).to_pandas()
+    met = rows.merge(rows, on="sig").query("doc_x < doc_y and kind_x > 0")
+    few = met
+    for c in ("prev", *jaccard.OVERS):
+        few = few[(few[f"{c}_x"] != few[f"{c}_y"]) | (few[f"{c}_x"] == 0)]
+    every = set(zip(met.doc_x, met.doc_y))
+    assert len(every) > 20 and set(zip(few.doc_x, few.doc_y)) == every
+    assert 5 * len(few) < len(met)
