@@ -59,3 +59,31 @@ def test_single_rows(net):
 def test_powers(net):
     vectors, _, _ = net
     close(table(graph.soft_fits(dense.power_sums(vectors, [1, 2, 4, 6], block=6), [1, 2, 4, 6])), table(graph.soft_threshold(pairs.all_pairs(vectors), [1, 2, 4, 6])))
+
+
+def test_eigenvector_centrality_ends_by_its_tolerance(net, monkeypatch):
+    """The query has no bound of its own on the steps; few nodes and blocks of nodes give the same."""
+    from sparkweave.plans import selections
+
+    vectors, nodes, edges = net
+    want = table(graph.eigenvector_centrality(edges, nodes, most=1000, tolerance=1e-9))
+    close(table(dense.eigenvector_centrality(vectors, nodes, LEAST, most=1000, tolerance=1e-9)), want)
+    asked = {}
+    monkeypatch.setattr(selections.dense, "eigenvector_centrality", lambda vectors, nodes, least, **more: asked.update(more) or graph.eigenvector_centrality(edges, nodes, most=1))
+    monkeypatch.setattr(selections, "_dense", lambda spark, sf_dir: (vectors, nodes))
+    selections.QUERIES["eigenvector_centrality"](None, "")
+    assert not asked
+
+
+def test_links_of_other_vectors_are_those_of_their_products(spark):
+    """Vectors that are no z-scored ranks, alone and among others."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(30, 12))
+    z[::2] = np.argsort(np.argsort(z[::2], axis=1), axis=1) - 5.5
+    z = (z - z.mean(axis=1, keepdims=True)) / z.std(axis=1, ddof=1, keepdims=True)
+    vectors = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(z)], "gene long, z array<double>")
+    r = np.abs(z @ z.T / 11) * (1 - np.eye(30))
+    for part in (range(30), range(0, 30, 2)):
+        got = {x.gene: x.k for x in pairs.linked_sums(vectors.where(F.col("gene").isin(list(part))), LEAST, lambda r, mine, other: (np.abs(r),), ["k"], block=7).collect()}
+        want = np.where(r >= LEAST, r, 0)[np.ix_(part, part)].sum(axis=1)
+        assert [got[g] for g in part] == pytest.approx(want.tolist(), abs=1e-9)
