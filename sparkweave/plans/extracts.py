@@ -7,13 +7,13 @@ above those the adjective, the noun and the type; above all the root.
 from pyspark.sql import functions as F
 
 from sparkweave.functions.ranks import drawn_sql
-from sparkweave.operators import counts, keyed, ontology, pairs, rules, sets
+from sparkweave.operators import counts, keyed, ontology, pairs, rules, sets, significant
 from sparkweave.sources import export
 from sparkweave.sources.matrix import from_embeddings
 from sparkweave.sources.scratch import checkpointed
 
 from .catalog import EXPR, ORACLE_SQL, QUERIES, P, query, r6, rounded, z_sql
-from .models import COUNTS, DEGREES, KEYED, _counts, _keyed
+from .models import COUNTS, DEGREES, KEYED, _counts, _keyed, _references
 
 # ---- terms ---------------------------------------------------------------------------------------------------------
 TERMS = """parts AS (SELECT p_partkey AS gene, p_size, p_name AS nm, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_type AS ty FROM part),
@@ -171,4 +171,4 @@ def largest_gains(spark, sf_dir):
 @query(f"WITH {KEYED} SELECT DISTINCT gene_i, gene_j FROM kn")
 def edges_of_any_reference(spark, sf_dir):
     """The union of the references' edge sets."""
-    return _keyed(spark, sf_dir)[1].select("gene_i", "gene_j").distinct()
+    return significant.union(from_embeddings(spark, sf_dir), _references(spark, sf_dir), P)

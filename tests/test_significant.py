@@ -80,3 +80,39 @@ def test_pairs_below_the_cut_are_left_out_first():
         on = (np.abs(r[0]) > cut) | (np.abs(r[1]) > cut)
         got = significant._above(sides, one, two, pick, cut)
         assert (got[0] == at[on]).all() and all((a == b[on]).all() for a, b in zip(got[1], r, strict=True))
+
+
+def test_summary_degrees_and_union_are_those_of_the_edges(data):
+    long, refs, every = data
+    edges = every.where("sig_edge")
+    close = lambda one, two: [tuple(r) for r in one] == [pytest.approx(tuple(r), abs=1e-9) for r in two]
+    same = F.abs(F.abs("r_low") - F.abs("r_high")) < 1e-9
+    even = edges.withColumn("class", F.when(same & F.col("class").isin("strengthen", "weaken"), "unchanged").otherwise(F.col("class")))
+    assert close(significant.summary(long, refs, P, **DEAL).orderBy("ref_gene").collect(), keyed.reference_summary(even, refs).orderBy("ref_gene").collect())
+    focuses = long.select(F.col("gene").alias("focus")).distinct().crossJoin(refs)
+    order = lambda df: df.select("ref_gene", "focus", "degree_low", "degree_high", "degree_diff").orderBy("ref_gene", "focus").collect()
+    assert order(significant.degrees(long, refs, focuses, P, **DEAL)) == order(keyed.focus_degrees(edges, focuses, P.threshold))
+    want = {tuple(r) for r in edges.select("gene_i", "gene_j").collect()}
+    for per in (2, 16):
+        got = [tuple(r) for r in significant.union(long, refs, P, block=9, per=per).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_without_ties_are_counted_by_number(spark, monkeypatch):
+    """Only the pairs of the tied row have p values of their own; the counts are those of single pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 40))
+    x[5] = np.round(x[5])
+    long = spark.createDataFrame([(g, s, float(v)) for g, row in enumerate(x) for s, v in enumerate(row)], "gene long, sample int, value double")
+    code = significant._codes(long).orderBy("gene").toPandas()["values"]
+    sides = [significant._centred(np.stack(code)[:, k : k + 8]) for k in (0, 8)]
+    at = np.delete(np.arange(50), 5)
+    full = 8 * 63 // 3
+    r = [s[0][at] @ s[0][at].T for s in sides]
+    want = (full - r[0]) / 4 * (full // 2 + 1) + (full - r[1]) / 4
+    monkeypatch.setattr(significant, "ROWS", 16)
+    monkeypatch.setattr(significant, "COLUMNS", 9)
+    got = np.zeros((49, 49))
+    for a, b, number in significant._numbers(sides, at, at, 8):
+        got[a : a + len(number), b : b + number.shape[1]] = number
+    assert (got == want).all()
