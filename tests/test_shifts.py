@@ -37,3 +37,21 @@ def test_shifts_hand_on_few_values(spark, monkeypatch, sample):
     assert [m.count() for m in made] == [2 * 160, 4 * 2 * 160, 4 * 2 * 160]  # rows by reference, side and block, not by gene
     if sample == 2048:
         assert sum(len(r["v"]) for r in made[2].select("v").collect()) < 160 * 159
+
+
+def test_mads_of_draws(spark):
+    """Of features with missing values and samples too; a row for each feature and draw, made from a row for each feature."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(30, 21)), 1)
+    x[3, ::2], x[4] = np.nan, np.nan
+    rows = [(g, s, None if np.isnan(v) else float(v)) for g, row in enumerate(x) for s, v in enumerate(row) if g != 7 or s < 9]
+    long = spark.createDataFrame(rows, "gene long, sample int, value double")
+    draws = {1: [2, 3, 5, 8, 13], 2: list(range(20)), 5: [20]}
+    made = express.drawn_mads(long, draws)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.gene, r.b): r.mad for r in made.collect()}
+    assert len(got) == 30 * 3
+    for (g, b), mad in got.items():
+        v = np.array([x[g, s] for s in draws[b] if g != 7 or s < 9])
+        v = v[~np.isnan(v)]
+        assert mad is None if not len(v) else mad == express.MAD_SCALE * np.median(np.abs(v - np.median(v)))
